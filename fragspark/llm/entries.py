@@ -14,14 +14,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragspark.llm.op1_substring_dedup import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fragspark.llm.op9_token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fragspark.llm.op10_packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    return {f.__name__: f for f in (op1_substring_dedup, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
