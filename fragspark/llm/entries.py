@@ -26,6 +26,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fragspark.llm.op3_mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragspark.llm.op9_token_counts import token_counts
 
@@ -39,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
