@@ -32,6 +32,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fragspark.llm.op5_rules import quality_rules
+
+    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragspark.llm.op9_token_counts import token_counts
 
@@ -45,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_quality_rules, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
