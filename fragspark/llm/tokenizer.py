@@ -33,7 +33,8 @@ LETTER, ENDING, R, V, ELL, E, NUMBER, OTHER, QUOTE, BLANK, WHITE, END = range(12
 CLASSES = 12
 Z, SL, SN, SO, SA, SP, SQ, SR, ST, SC, CR, CV, CL = range(13)
 STATES = 13
-CHUNK = 64
+CHUNK = 256
+SETTLE = 12
 #: Code points with the property White_Space.
 WHITE_POINTS = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -103,8 +104,19 @@ def run_machine(symbols: np.ndarray) -> np.ndarray:
     grid[:n] = symbols
     grid = np.ascontiguousarray(grid.reshape(rows, CHUNK).T)
     maps = np.repeat(np.arange(STATES, dtype=np.uint8)[:, None], rows, axis=1)
-    for k in range(CHUNK):
+    for k in range(SETTLE):
         maps = after[maps * np.uint8(CLASSES) + grid[k]]
+    # most chunks forget their start state soon: one column is enough from there on
+    open_rows = np.flatnonzero((maps != maps[0]).any(axis=0))
+    one, rest = maps[0], maps[:, open_rows]
+    for k in range(SETTLE, CHUNK):
+        one = after[one * np.uint8(CLASSES) + grid[k]]
+    if len(open_rows):
+        left = grid[:, open_rows]
+        for k in range(SETTLE, CHUNK):
+            rest = after[rest * np.uint8(CLASSES) + left[k]]
+    maps = np.repeat(one[None, :], STATES, axis=0)
+    maps[:, open_rows] = rest
     ends = compose_scan(np.ascontiguousarray(maps.T))
     state = np.full(rows, Z, dtype=np.uint8)
     state[1:] = ends[:-1, Z]
@@ -265,22 +277,57 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Memo:
+    """Numbers by 64-bit key in two sorted arrays, an old one and a recent one; emptied beyond ``limit`` keys."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values = [np.zeros(0, np.uint64)] * 2, [np.zeros(0, np.int64)] * 2
+
+    def full(self) -> bool:
+        return sum(map(len, self.keys)) > self.limit
+
+    def get(self, wanted: np.ndarray) -> np.ndarray:
+        """-1 where a key is not known."""
+        out = np.full(len(wanted), -1, dtype=np.int64)
+        for keys, values in zip(self.keys, self.values):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[at] == wanted
+                out[hit] = values[at[hit]]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds new keys."""
+        self.merge(1, keys, values)
+        if len(self.keys[1]) > max(20_000, len(self.keys[0]) // 3):
+            self.merge(0, self.keys[1], self.values[1])
+            self.keys[1], self.values[1] = self.keys[1][:0], self.values[1][:0]
+
+    def merge(self, i: int, keys: np.ndarray, values: np.ndarray) -> None:
+        keys, values = np.concatenate([self.keys[i], keys]), np.concatenate([self.values[i], values])
+        order = np.argsort(keys, kind="stable")
+        self.keys[i], self.values[i] = keys[order], values[order]
+
+
 class Counter:
-    """Token counts of pre-tokens by their 64-bit hash; at most ``limit`` are remembered between batches."""
+    """Token counts of pre-tokens by their 64-bit hash."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
-        self.machine, self.known, self.limit = CountMachine(vocabulary(path)), {}, limit
+    def __init__(self, path: str, limit: int = 1_500_000) -> None:
+        self.machine, self.known = CountMachine(vocabulary(path)), Memo(limit)
 
     def counts(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, special: np.ndarray) -> np.ndarray:
         keys, first, number = np.unique(T.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > self.limit:
+        if self.known.full():
             self.known.clear()
-        known, read, out = self.known, self.machine.read, np.empty(len(keys), np.int64)
-        for i, (key, f) in enumerate(zip(keys.tolist(), first.tolist())):
-            n = known.get(key)
-            if n is None:
-                n = known[key] = read(buf[starts[f] : ends[f]].tobytes())
-            out[i] = n
+        out = self.known.get(keys)
+        new = np.flatnonzero(out < 0)
+        read, data = self.machine.read, buf.tobytes()
+        out[new] = [read(data[s:e]) for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+        self.known.put(keys[new], out[new])
         out = out[number]
         out[special] = 1
         return out
@@ -289,38 +336,72 @@ class Counter:
 class Encoder:
     """Token ids of pre-tokens by the tokenizers library, each distinct pre-token once while it is remembered."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 1_500_000) -> None:
         from tokenizers import Tokenizer
 
-        self.library, self.limit = Tokenizer.from_file(path), limit
-        self.special = self.library.token_to_id(SPECIAL.decode())
+        self.library, self.known = Tokenizer.from_file(path), Memo(limit)
+        self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.at = array("H"), array("q", [0])
+        self.known.clear()
+        self.ids, self.n, self.top = np.zeros(1 << 16, np.uint16), 0, 0
+        self.at = np.zeros(1 << 15, np.int64)
+
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Codes of new pre-tokens. Words without white space but a leading blank go through the library many at once,
+        a line feed between them: its pattern splits just there, and no such word has the line feed's id."""
+        plain = [i for i, w in enumerate(words) if w[-1] > 32 and (w.isascii() or not w.decode().isspace())]
+        other = np.setdiff1d(np.arange(len(words)), plain).tolist()
+        sizes = np.zeros(len(words), np.int64)
+        parts: list = [None] * len(words)
+        if plain:
+            ids = np.array(self.library.encode(b"\n".join([words[i] for i in plain]).decode(), add_special_tokens=False).ids, dtype=np.uint16)
+            stops = np.append(np.flatnonzero(ids == self.line), len(ids))
+            sizes[plain] = np.diff(stops, prepend=-1) - 1
+            ids = ids[ids != self.line]
+        else:
+            ids = np.zeros(0, np.uint16)
+        if other:
+            found = self.library.encode_batch([words[i].decode() for i in other], add_special_tokens=False)
+            for i, e in zip(other, found):
+                parts[i] = e.ids
+                sizes[i] = len(e.ids)
+        codes = np.empty(len(words), np.int64)
+        order = np.array(plain + other, dtype=np.int64)
+        codes[order] = self.n + np.arange(len(words))
+        ids = np.concatenate([ids, np.array([x for i in other for x in parts[i]], dtype=np.uint16)])
+        self.append(ids, sizes[order])
+        return codes
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        def room(have: np.ndarray, n: int) -> np.ndarray:
+            if n <= len(have):
+                return have
+            more = np.zeros(max(n, len(have) * 3 // 2), have.dtype)
+            more[: len(have)] = have
+            return more
+
+        self.ids, self.at = room(self.ids, self.top + len(ids)), room(self.at, self.n + len(sizes) + 1)
+        self.ids[self.top : self.top + len(ids)] = ids
+        self.at[self.n + 1 : self.n + len(sizes) + 1] = self.top + np.cumsum(sizes)
+        self.n, self.top = self.n + len(sizes), self.top + len(ids)
 
     def encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pre-tokens one after another, the number of ids of each pre-token)."""
         keys, first, number = np.unique(T.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > self.limit:
+        if self.known.full():
             self.reset()
-        known = self.known
-        codes = [known.get(k, -1) for k in keys.tolist()]
-        new = [i for i, c in enumerate(codes) if c < 0]
-        if new:
-            words = [buf[starts[f] : ends[f]].tobytes().decode("utf-8") for f in first[new]]
-            for i, e in zip(new, self.library.encode_batch_fast(words, add_special_tokens=False)):
-                codes[i] = known[int(keys[i])] = len(self.at) - 1
-                self.ids.extend(e.ids)
-                self.at.append(len(self.ids))
-        code = np.array(codes, dtype=np.int64)[number]
-        at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.ids, np.uint16)
-        sizes = at[code + 1] - at[code]
-        shift = at[code] - (np.cumsum(sizes) - sizes)
-        out = flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
-        del at, flat
-        return out, sizes
+        code = self.known.get(keys)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            data = buf.tobytes()
+            code[new] = self.learn([data[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            self.known.put(keys[new], code[new])
+        code = code[number]
+        sizes = self.at[code + 1] - self.at[code]
+        shift = self.at[code] - (np.cumsum(sizes) - sizes)
+        return self.ids[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
 
 
 def slices(buf: np.ndarray, offs: np.ndarray, size: int = 1 << 20):
