@@ -32,6 +32,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fragspark.llm import op4_classifier as C
+
+    docs = table(spark, sf_dir, "documents")
+    return C.classify(docs, C.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragspark.llm.op5_rules import quality_rules
 
@@ -52,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_quality_rules, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op4_classifier, op5_quality_rules, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
