@@ -26,6 +26,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fragspark.llm.op2_suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragspark.llm.op3_mixing import mix
 
@@ -59,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op4_classifier, op5_quality_rules, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_mixing, op4_classifier, op5_quality_rules, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fragspark.llm import text as T
+
 MESSAGE = pa.schema([("dst", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 MESSAGE_SQL = "dst int, src int, kind int, data binary"
 NO_MESSAGES = MESSAGE.empty_table()
@@ -91,3 +93,26 @@ def shard_bounds(sorted_keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
 def ids_of(table: pa.Table) -> np.ndarray:
     """The ids as int64; a null id counts as the smallest."""
     return pa.compute.fill_null(table.column("id"), -(2**63)).to_numpy()
+
+
+def shared_keys(table: pa.Table) -> pa.Table:
+    """A shard's answers about packed sorted keys, each kind for itself: a bit for every key sent, whether another block has it too."""
+    out, sent = [], list(read(table))
+    for kind in sorted({m[2] for m in sent}):
+        rows = [(src, T.unpack_sorted(data)) for _, src, k, data in sent if k == kind]
+        keys, counts = np.unique(np.concatenate([own for _, own in rows]), return_counts=True)
+        shared = keys[counts > 1]
+        for src, own in rows:
+            out.append((src, sent[0][0], kind, np.packbits(is_in(own, shared)).tobytes()))
+    return messages(out)
+
+
+def is_in(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(values), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)
+    return sorted_keys[at] == values
+
+
+def bits(data: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=count).astype(bool)

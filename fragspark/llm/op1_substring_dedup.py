@@ -75,25 +75,6 @@ def _sketch(width: int, bits: int, shards: int):
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Adds up the sketches of all blocks; answers with a bit for each cell sent: whether it holds two or more."""
-    out = []
-    sent = list(X.read(table))
-    for r in range(DEPTH):
-        rows = [(src, T.unpack_sorted(data)) for _, src, kind, data in sent if kind == r]
-        if not rows:
-            continue
-        cells, counts = np.unique(np.concatenate([c for _, c in rows]), return_counts=True)
-        shared = cells[counts > 1]
-        for src, own in rows:
-            at = np.searchsorted(shared, own)
-            hit = np.zeros(len(own), dtype=bool)
-            inside = at < len(shared)
-            hit[inside] = shared[at[inside]] == own[inside]
-            out.append((src, sent[0][0], r, np.packbits(hit).tobytes()))
-    return X.messages(out)
-
-
 def _candidates(width: int, bits: int, shards: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -185,7 +166,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", te
     bits = int(max(size, 64)).bit_length()  # words take two bytes and more with their space: two to four cells a window at the usual six
     blocks = X.to_blocks(docs, shards, id_col, text_col)
     sketch = X.by_block(blocks, _sketch(width, bits, shards), X.MESSAGE_SQL)
-    repeated = X.by_shard(sketch, _merge)
+    repeated = X.by_shard(sketch, X.shared_keys)
     entries = X.with_answers(blocks, repeated, _candidates(width, bits, shards), X.MESSAGE_SQL)
     marked = X.by_shard(entries, _earliest)
     return X.with_answers(blocks, marked, _remove(width, bits, shards, with_text), SCHEMA + ", kept_text string" * with_text)
