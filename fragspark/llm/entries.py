@@ -52,6 +52,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fragspark.llm.op6_jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragspark.llm.op9_token_counts import token_counts
 
@@ -65,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_mixing, op4_classifier, op5_quality_rules, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_mixing, op4_classifier, op5_quality_rules, op6_jaccard_join, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
