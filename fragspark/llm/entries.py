@@ -64,6 +64,12 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fragspark.llm.op8_ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragspark.llm.op9_token_counts import token_counts
 
@@ -77,7 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_mixing, op4_classifier, op5_quality_rules, op6_jaccard_join, op7_lm_scoring, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_mixing, op4_classifier, op5_quality_rules, op6_jaccard_join, op7_lm_scoring, op8_ann, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
