@@ -36,6 +36,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> Column:
+    """The place of a row in its source's shuffled order."""
+    return F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """(src, source_size, target): shares by weight, level with what is left where a source would exceed ``most`` times its size.
 
@@ -71,17 +76,18 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    carry: list[str] | None = None,
+    with_key: bool = False,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken[, row]) for every row; ``taken`` counts words with their repeats."""
+    """(doc_id, size, source_size, target, taken[, row_key]) for every row; ``taken`` counts words with their repeats.
+
+    ``row_key`` is what ``row_key`` below makes of a row; rows with equal ids and texts share it.
+    """
     cols = [
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").cast("string").alias("src"),
         word_count(F.col(f"`{text_col}`").cast("string")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("at"),
+        row_key(id_col, text_col, seed).alias("at"),
     ]
-    if carry:
-        cols.append(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
     key = F.coalesce(F.concat(F.lit("="), F.col("src")), F.lit("null")).alias("key")
     rows = stored(docs.select(*cols).select("*", key, F.shiftrightunsigned("at", 54).alias("bucket")), "mix")
     parts = rows.groupBy("key", "src", "bucket").agg(F.sum("size").alias("n"))
@@ -107,7 +113,7 @@ def mix(
     words = (high - low) * F.col("plays") + F.greatest(F.least(high, cut_at) - low, F.lit(0))
     taken = pieces.join(played, ["key", "block"]).groupBy("key", "bucket", "nth").agg(F.sum(words).alias("taken"))
     out = laid.join(taken, ["key", "bucket", "nth"], "left").join(small(plan.select("key", "source_size", "target")), "key")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), *(["row"] if carry else []))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), *([F.col("at").alias("row_key")] if with_key else []))
 
 
 def slots(plan: DataFrame, block: int, small) -> DataFrame:
