@@ -1 +1 @@
-""""""
+"""Column functions and numeric kernels."""

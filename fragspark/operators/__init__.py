@@ -1 +1 @@
-""""""
+"""Operators: functions from DataFrames to DataFrames, lazy and free of driver-side loops."""

@@ -1 +1 @@
-""""""
+"""Readers and writers of genomic formats."""

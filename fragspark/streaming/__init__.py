@@ -1 +1 @@
-""""""
+"""Streaming front ends."""
