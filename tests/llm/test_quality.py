@@ -36,7 +36,7 @@ def test_mixing_hits_its_targets(docs, rows):
 def test_mixing_edges(empty, odd):
     assert op3_mixing.mix(empty).collect() == []
     out = op3_mixing.mix(odd, block=2).collect()
-    assert len(out) == 5 and sum(r.taken for r in out) == 27
+    assert len(out) == 5 and sum(r.taken for r in out) == 26  # floors of 19.3 and 7.7
     assert all(r.taken == 0 for r in op3_mixing.mix(odd.where("text is null")).collect())
 
 
