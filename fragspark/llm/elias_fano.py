@@ -34,9 +34,11 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     if width and n:
         at = np.arange(n, dtype=np.int64) * width
         word, shift = at >> 6, (at & 63).astype(np.uint64)
-        np.bitwise_or.at(out, word, values << shift)
-        spill = np.flatnonzero(shift.astype(np.int64) + width > 64)
-        np.bitwise_or.at(out, word[spill] + 1, values[spill] >> (np.uint64(64) - shift[spill]))
+        # values of one word are neighbours
+        heads = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[heads]] = np.bitwise_or.reduceat(values << shift, heads)
+        spill = np.flatnonzero(shift.astype(np.int64) + width > 64)  # at most one a word
+        out[word[spill] + 1] |= values[spill] >> (np.uint64(64) - shift[spill])
     return out
 
 
@@ -91,7 +93,7 @@ class Sequence:
         return (high.astype(np.uint64) << np.uint64(self.width)) | _unpack(self.low, self.width, i)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, or -1: the values with its high part lie between two zeros; their low bits are compared."""
+        """The place of each value, or -1: the values with its high part lie between two zeros, in order of their low bits, and are searched by halves."""
         out = np.full(len(values), -1, dtype=np.int64)
         values = values.astype(np.uint64)
         ok = np.flatnonzero(values < np.uint64(self.universe)) if self.n else np.zeros(0, np.int64)
@@ -99,13 +101,19 @@ class Sequence:
         low = values[ok] & ((ONE << np.uint64(self.width)) - ONE)
         begin = np.where(high > 0, _select(self.flipped, self.zeros, np.maximum(high - 1, 0)) - high + 1, 0)
         end = _select(self.flipped, self.zeros, high) - high
+        last = end
         while len(ok):
             live = begin < end
-            ok, begin, end, low = ok[live], begin[live], end[live], low[live]
-            here = _unpack(self.low, self.width, begin)
-            out[ok[here == low]] = begin[here == low]
-            more = here < low
-            ok, begin, end, low = ok[more], begin[more] + 1, end[more], low[more]
+            done = ~live
+            here = begin[done]
+            hit = here < last[done]
+            rows, here = ok[done][hit], here[hit]
+            same = _unpack(self.low, self.width, here) == low[done][hit]
+            out[rows[same]] = here[same]
+            ok, begin, end, low, last = ok[live], begin[live], end[live], low[live], last[live]
+            half = (begin + end) // 2
+            below = _unpack(self.low, self.width, half) < low
+            begin, end = np.where(below, half + 1, begin), np.where(below, end, half)
         return out
 
     def parts(self) -> list[np.ndarray]:
