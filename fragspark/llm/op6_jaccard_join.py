@@ -162,7 +162,7 @@ def _read(width: int, percent: int, shards: int):
             by = np.argsort(sig, kind="stable")
             sig, number = sig[by], number[by]
             cuts = X.shard_bounds(sig, 64, shards)
-            parts = [(s, sig[cuts[s] : cuts[s + 1]].tobytes() + number[cuts[s] : cuts[s + 1]].tobytes()) for s in range(shards) if cuts[s] < cuts[s + 1]]
+            parts = [(s, _packed(sig[cuts[s] : cuts[s + 1]], number[cuts[s] : cuts[s + 1]])) for s in range(shards) if cuts[s] < cuts[s + 1]]
             if parts:
                 m = len(parts)
                 nulls = [pa.nulls(m, f.type) for f in READ]
@@ -172,19 +172,37 @@ def _read(width: int, percent: int, shards: int):
     return run
 
 
+def _packed(sig: np.ndarray, ids: np.ndarray) -> bytes:
+    """Sorted signatures and their ids, the ids as distances to the smallest, in four bytes where they fit."""
+    low = int(ids.min())
+    wide = int(ids.max()) - low >= 1 << 32
+    far = ids.astype(np.uint64) - np.uint64(low & (2**64 - 1))
+    return np.array([low, wide, len(ids)], np.int64).tobytes() + far.astype(np.uint64 if wide else np.uint32).tobytes() + T.pack_sorted(sig)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low, wide, n = (int(x) for x in np.frombuffer(data, np.int64, 3))
+    far = np.frombuffer(data, np.uint64 if wide else np.uint32, n, 24).astype(np.uint64)
+    return T.unpack_sorted(data[24 + n * (8 if wide else 4) :]), (far + np.uint64(low & (2**64 - 1))).view(np.int64)
+
+
 def _stars(table: pa.Table) -> pa.Table:
-    """Of each signature, edges from all ids to the smallest."""
-    data = [d.as_py() for d in table.column("data")]
-    sizes = [len(d) // 16 for d in data]
-    sig = np.concatenate([np.frombuffer(d, np.uint64, n) for d, n in zip(data, sizes)])
-    ids = np.concatenate([np.frombuffer(d, np.int64, n, 8 * n) for d, n in zip(data, sizes)])
+    """Of each signature, edges from all ids to the smallest, as a forest."""
+    parts = [_unpacked(d.as_py()) for d in table.column("data")]
+    sig, ids = (np.concatenate([p[i] for p in parts]) for i in range(2))
     by = np.lexsort((ids, sig))
     sig, ids = sig[by], ids[by]
     first = np.ones(len(sig), dtype=bool)
     first[1:] = sig[1:] != sig[:-1]
     least = ids[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-    edge = np.unique(np.column_stack([ids, least])[ids != least], axis=0)
-    return pa.table({"u": pa.array(edge[:, 0], pa.int64()), "v": pa.array(edge[:, 1], pa.int64())})
+    node, place = np.unique(np.concatenate([ids[ids != least], least[ids != least]]), return_inverse=True)
+    half = len(place) // 2
+    forest = Forest(len(node))  # the shard's edges as a forest: each id once, with the smallest id that it reaches here
+    for a, b in np.unique(place.reshape(2, half).T, axis=0).tolist():
+        forest.join(a, b)
+    root = np.array([forest.root(k) for k in range(len(node))], dtype=np.int64)
+    off = root != np.arange(len(node))
+    return pa.table({"u": pa.array(node[off], pa.int64()), "v": pa.array(node[root[off]], pa.int64())})
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +352,7 @@ def _sets(width: int):
                 j = max(i + 1, int(np.searchsorted(offs, offs[i] + (2 << 20), "right")) - 1)
                 keys, at = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
                 data = pa.array([keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-                yield pa.record_batch([batch.column(0)[i:j], batch.column(2)[i:j], batch.column(3)[i:j], data], names=["doc_id", "cluster", "leaf", "data"])
+                yield pa.record_batch([batch.column(0)[i:j], batch.column(2)[i:j], batch.column(3)[i:j], data], names=["doc_id", "cluster", "tasks", "data"])
                 i = j
 
     return run
@@ -353,7 +371,6 @@ def _verify(percent: int):
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; links need a Jaccard similarity of percent / 100 of word shingles."""
-    spark = docs.sparkSession
     shards, _, _ = X.block_count(docs, block_bytes, text_col)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     read = stored(texts.mapInArrow(_read(width, percent, shards), READ_SQL), "jaccard")
@@ -364,7 +381,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     classes = info.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps = info.join(classes, ["k1", "k2"]).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "point")
     members = reps.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    parts = max(spark.sparkContext.defaultParallelism, shards)
+    load = members.agg(F.sum(F.greatest(F.col("n") * 8, F.lit(8192)))).first()[0] or 0
+    parts = max(1, -(-int(load) // LEAF_BYTES))
     order = ["cluster", "n", *[F.col("point")[k] for k in range(4)], "doc_id"]
     sorted_members = members.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     leaves = stored(sorted_members.mapInArrow(_leaves, "doc_id bigint, n bigint, point array<int>, cluster bigint, leaf bigint"), "jaccard-leaves")
@@ -375,12 +393,21 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     bound = F.expr("aggregate(zip_with(a.corner, b.corner, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
     pairs = a.join(b, F.expr(f"a.cluster = b.cluster and a.leaf < b.leaf and 100 * a.high >= {percent} * b.low and 100 * b.high >= {percent} * a.low"))
     pairs = pairs.where((100 + percent) * bound >= percent * (F.col("a.low") + F.col("b.low"))).select(F.col("a.cluster").alias("cluster"), F.col("a.leaf").alias("left"), F.col("b.leaf").alias("right"))
-    ends = pairs.select("cluster", F.col("left").alias("leaf"), F.lit(0).alias("side"), F.concat_ws("-", "cluster", "left", "right").alias("task"))
-    ends = ends.unionByName(pairs.select("cluster", F.col("right").alias("leaf"), F.lit(1).alias("side"), F.concat_ws("-", "cluster", "left", "right").alias("task")))
-    sets = texts.join(leaves.select("doc_id", "cluster", "leaf"), "doc_id").select("doc_id", "text", "cluster", "leaf").mapInArrow(_sets(width), "doc_id bigint, cluster bigint, leaf bigint, data binary")
-    alone = sets.select(F.col("leaf").cast("string").alias("task"), F.lit(0).alias("side"), "doc_id", "cluster", "data")
-    crossed = sets.join(ends, ["cluster", "leaf"]).select("task", "side", "doc_id", "cluster", "data")
-    forest = alone.unionByName(crossed).groupBy("task").applyInArrow(_verify(percent), "u bigint, v bigint")
+    task = F.concat_ws("-", "cluster", "left", "right").alias("task")
+    ends = pairs.select("cluster", F.col("left").alias("leaf"), F.col("right").alias("other"), F.lit(0).alias("side"), task)
+    ends = ends.unionByName(pairs.select("cluster", F.col("right").alias("leaf"), F.col("left").alias("other"), F.lit(1).alias("side"), task))
+    ends = ends.join(split.select("cluster", F.col("leaf").alias("other"), "corner", "low", "high"), ["cluster", "other"])
+    # each document goes to its leaf's task, and to those of its leaf's pairs whose other box admits a link with its own point; the
+    # texts meet that list in one shuffle, whatever the sizes: a list small enough to be broadcast today isn't at the next size
+    reach = F.expr("aggregate(zip_with(point, corner, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+    crossing = leaves.join(ends, ["cluster", "leaf"]).where((100 + percent) * reach >= percent * (F.col("n") + F.col("low")))
+    crossing = crossing.where((100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))).select("doc_id", "cluster", "side", "task")
+    tasks = leaves.select("doc_id", "cluster", F.lit(0).alias("side"), F.col("leaf").cast("string").alias("task")).unionByName(crossing)
+    wanted = tasks.groupBy("doc_id", "cluster").agg(F.collect_list(F.struct("side", "task")).alias("tasks"))
+    chosen = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cluster", "tasks")
+    sets = chosen.mapInArrow(_sets(width), "doc_id bigint, cluster bigint, tasks array<struct<side:int,task:string>>, data binary")
+    sent = sets.select("doc_id", "cluster", "data", F.explode("tasks").alias("t")).select("t.task", "t.side", "doc_id", "cluster", "data")
+    forest = sent.groupBy("task").applyInArrow(_verify(percent), "u bigint, v bigint")
     found = components(forest).select(F.col("node").alias("rep"), "component")
     of_class = classes.join(found, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = info.join(of_class, ["k1", "k2"], "left")
