@@ -411,4 +411,4 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     found = components(forest).select(F.col("node").alias("rep"), "component")
     of_class = classes.join(found, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = info.join(of_class, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
