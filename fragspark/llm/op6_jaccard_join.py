@@ -384,7 +384,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     load = members.agg(F.sum(F.greatest(F.col("n") * 8, F.lit(8192)))).first()[0] or 0
     parts = max(1, -(-int(load) // LEAF_BYTES))
     order = ["cluster", "n", *[F.col("point")[k] for k in range(4)], "doc_id"]
-    sorted_members = members.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # leaves follow the load, however many partitions the session deals: each cut through a cluster costs pairs
+    sorted_members = members.repartitionByRange(parts, *order).coalesce(parts).sortWithinPartitions(*order)
     leaves = stored(sorted_members.mapInArrow(_leaves, "doc_id bigint, n bigint, point array<int>, cluster bigint, leaf bigint"), "jaccard-leaves")
     corner = F.array(*[F.max(F.col("point")[k]) for k in range(DIMENSIONS)])
     boxes = leaves.groupBy("cluster", "leaf").agg(corner.alias("corner"), F.min("n").alias("low"), F.max("n").alias("high"))
