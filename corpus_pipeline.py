@@ -4,7 +4,7 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is writt
 Parquet and read again as the next stage's documents. All but the last return
 the columns of documents. Documents that the classifier rejects go; of each group of near
 duplicates (word 5-shingles, Jaccard similarity 0.8 or more) the smallest id stays;
-bytes of long repeated strings go from the texts; documents are repeated or cut as the
+repeated strings of more than 50 words, or of 400 bytes, go from the texts; documents are repeated or cut as the
 mix takes them; and the rest is packed into sequences.
 """
 
@@ -37,10 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+#: Passages of more words than these go; the shortest, of words of one byte with a blank between, has 2 * 51 - 1 bytes.
+PASSAGE_WORDS = 50
+
+
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes strings of 400 bytes that occur elsewhere out of the texts."""
+    """Takes repeated runs of more than 50 words, and those of 400 bytes or more, out of the texts."""
     ship(spark)
-    found = op2_suffix_dedup.suffix_dedup(docs, carry=docs.columns)
+    found = op2_suffix_dedup.suffix_dedup(docs, length=2 * PASSAGE_WORDS + 1, carry=docs.columns, words=PASSAGE_WORDS)
     left = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept_text")), "n_chars": F.length("kept_text").cast("bigint")}
     return found.select(*[left.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

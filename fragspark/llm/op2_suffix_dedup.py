@@ -192,7 +192,17 @@ def _sort(length: int):
     return run
 
 
-def _remove(length: int, shards: int, schema: pa.Schema):
+def long_runs(hit: np.ndarray, buf: np.ndarray, offs: np.ndarray, length: int, words: int, sure: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of the bytes under runs of consecutive repeated starts that hold more than ``words`` whole words, or ``sure`` bytes."""
+    edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+    begins, ends = edges[::2], edges[1::2] + length - 1
+    first, last, _ = T.split_words(buf, offs)
+    held = np.searchsorted(last, ends, "right") - np.searchsorted(first, begins)
+    stays = (held > words) | (ends - begins >= sure)
+    return begins[stays], ends[stays]
+
+
+def _remove(length: int, shards: int, schema: pa.Schema, words: int | None, sure: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
@@ -209,11 +219,18 @@ def _remove(length: int, shards: int, schema: pa.Schema):
                 repeated[cuts[s] : cuts[s + 1]] = np.unpackbits(rows, axis=1, count=width)
         n, offs = len(block.buf), block.offs
         cover = np.zeros(n + 1, dtype=np.int32)
+        hit = np.zeros(n, dtype=bool)
         for i in range(0, len(chosen), 50_000):
             row, step = np.nonzero(repeated[number[i : i + 50_000]])
             starts = block.first[chosen[i : i + 50_000]][row] + step
+            if words is not None:
+                hit[starts] = True
+                continue
             cover[: n + 1] += np.bincount(starts, minlength=n + 1).astype(np.int32)
             cover[: n + 1] -= np.bincount(starts + length, minlength=n + 1).astype(np.int32)
+        if words is not None:
+            begins, ends = long_runs(hit, block.buf, offs, length, words, sure)
+            cover += np.bincount(begins, minlength=n + 1).astype(np.int32) - np.bincount(ends, minlength=n + 1).astype(np.int32)
         gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -233,11 +250,14 @@ def _remove(length: int, shards: int, schema: pa.Schema):
 
 
 def suffix_dedup(
-    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, carry: list[str] | None = None
-) -> DataFrame:
+    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, carry: list[str] | None = None,
+    words: int | None = None, sure: int = 400,
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text, row]), a row for every row of ``docs``.
 
     With ``carry``, ``kept_text`` is what is left (bytes of a character that was cut in two go) and ``row`` holds the carried columns.
+    With ``words``, strings of ``length`` bytes that are repeated at consecutive starts make a run, and only runs of more than ``words`` whole words
+    or of at least ``sure`` bytes go.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -251,4 +271,4 @@ def suffix_dedup(
     shared = X.by_shard(asked, X.shared_keys)
     sent = X.with_answers(blocks, shared, _send(length, shards), X.MESSAGE_SQL)
     found = X.by_shard(sent, _sort(length))
-    return X.with_answers(blocks, found, _remove(length, shards, to_arrow_schema(schema)), schema)
+    return X.with_answers(blocks, found, _remove(length, shards, to_arrow_schema(schema), words, sure), schema)

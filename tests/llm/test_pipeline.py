@@ -1,10 +1,13 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fragspark.llm import entries
 from fragspark.llm.shared import stored
-from llm_helpers import corpus, words
+from llm_helpers import WORD, corpus, words
 from test_search import jaccard_brute
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -65,3 +68,45 @@ def test_run_and_entries(spark, folder):
     assert corpus_pipeline.run(spark, path).count() > 0
     assert [int(n[2:].split("_")[0]) for n in entries.queries()] == list(range(1, 11))
     assert set(entries.oracle_sql()) <= set(entries.queries())
+
+
+def test_repeated_passages_of_over_50_words_go(spark, folder):
+    path, _ = folder
+    rng = random.Random(5)
+    prose = lambda n, most: [rng.choice("bcdfghjk") + "".join(rng.choice("aeiou") for _ in range(rng.randrange(most))) for _ in range(n)]
+    middle, short, kept = " ".join(prose(51, 9)), " ".join(prose(51, 1)), " ".join(prose(50, 9))
+    solid = "".join(rng.choice("lmnp") for _ in range(400))
+    assert len(middle) < 400 and len(short) == 101
+    ends = [f"{a * 40} {{}} {b * 40}" for a, b in ("qr", "st", "vw", "xy", "QR", "ST", "VW", "XY")]
+    texts = [e.format(p) for e, p in zip(ends, [x for x in (middle, short, kept, solid) for _ in range(2)])]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_strings(spark, spark.createDataFrame(rows, SCHEMA), path).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (t if i in (4, 5) else t[:40] + t[-40:]), i
+
+
+def test_runs_like_brute_force(spark, folder):
+    path, rows = folder
+    texts = {r[0]: (r[1] or "").encode() for r in rows if len(r[1] or "") < 9000}
+    count = Counter(t[i : i + 101] for t in texts.values() for i in range(len(t) - 100))
+    docs = spark.createDataFrame([r for r in rows if r[0] in texts], SCHEMA)
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_strings(spark, docs, path).collect()}
+    gone = 0
+    for i, t in texts.items():
+        left, at = bytearray(t), 0
+        keep = [True] * len(t)
+        while at < len(t) - 100:
+            end = at
+            while end < len(t) - 100 and count[t[end : end + 101]] > 1:
+                end += 1
+            if end > at:
+                run = range(at, end + 100)
+                whole = sum(m.start() >= run.start and m.end() <= run.stop for m in WORD.finditer(t))
+                if whole > 50 or len(run) >= 400:
+                    gone += len(run) < 400
+                    for k in run:
+                        keep[k] = False
+            at = end + 1
+        left = bytes(b for b, k in zip(t, keep) if k).decode("utf-8", "ignore")
+        assert (got[i] or "") == left, i
+    assert gone
