@@ -76,6 +76,15 @@ def doc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("contig"), F.expr("(doc_id * 31) % 900").alias("start"), F.expr("(doc_id * 31) % 900 + 1500").alias("stop"), F.concat(F.lit("r"), "doc_id").alias("name"), F.col("doc_id").alias("idx"))
 
 
+def doc_windows(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
+    """Windows over whole documents, whose sequences are as long as their texts; the last one ends with its document. ``idx`` has room for the windows of any string."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("contig"), F.length("text").cast("bigint").alias("size"))
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(size).cast("bigint")))
+    w = d.where("size > 0").select("contig", "size", start.alias("start"))
+    idx = F.col("contig").cast("bigint") * (1 << 22) + F.expr(f"start div {size}")
+    return w.select("contig", "start", F.least(F.col("start") + size, "size").alias("stop"), idx.alias("idx"))
+
+
 def bins(spark: SparkSession, size: int = 10_000) -> DataFrame:
     i = F.col("id")
     per = SIZE // size
@@ -485,5 +494,4 @@ def delfi_gc_correct(spark, d):
 
 @_query()
 def delfi(spark, d):
-    r = doc_regions(spark, d).select("contig", F.lit(0).cast("bigint").alias("start"), F.lit(1000).cast("bigint").alias("stop"), "idx")
-    return D.delfi(doc_fragments(spark, d), r, motifs.tiles(sequences(spark, d)), merge_bins=False, remove_nocov=False)
+    return D.delfi(doc_fragments(spark, d), doc_windows(spark, d), motifs.tiles(sequences(spark, d)), merge_bins=False, remove_nocov=False)

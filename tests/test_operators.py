@@ -239,3 +239,32 @@ def test_reads(spark):
     reads = spark.createDataFrame([(99, "a", 100, 175, 60, 160, 50), (147, "a", 185, 260, 60, -160, 60), (83, "a", 185, 260, 60, -160, 60), (99, "a", 1, 5, 10, 9, 60), (99 + 1024, "a", 1, 5, 60, 9, 60), (99, "a", 1, 5, 60, 0, 60)], "flag int, contig string, start bigint, stop bigint, mapq int, tlen bigint, mate_mapq int")
     got = sorted((r["start"], r["stop"], r["is_forward"]) for r in fr.from_reads(reads).collect())
     assert got == [(100, 260, True), (100, 260, False)] or got == [(100, 260, False), (100, 260, True)]
+
+
+def test_delfi_query_covers_whole_documents(spark, tmp_path):
+    from fragspark.plans import catalog
+
+    rng = random.Random(6)
+    texts = {i: "".join(rng.choice(catalog.LETTERS + "\n") for _ in range(n)) for i, n in enumerate((0, 1, 999, 1000, 1001, 2500, 4100, 5000))}
+    lines = [(rng.randrange(4000), rng.randrange(400), rng.randint(1, 7), rng.randrange(100), float(rng.randint(1, 50)), "O") for _ in range(6000)]
+    spark.createDataFrame([*texts.items(), (8, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_linenumber bigint, l_suppkey bigint, l_quantity double, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    frags = [(str((o * 7 + n) % 9), s := (p * 17 + n * 101) % 4000, s + 100 + (p * 7 + n * 13 + k) % 121, int(q) + 10) for o, p, n, k, q, _ in lines]
+    frags = [(c, (a + b) // 2, b - a) for c, a, b, m in frags if m >= 30 and 100 <= b - a <= 220]
+    bases, expected = str.maketrans(catalog.LETTERS, catalog.BASES), {}
+    for i, t in texts.items():
+        for at in range(0, len(t), 1000):
+            lengths = [n for c, mid, n in frags if c == str(i) and at <= mid < min(at + 1000, len(t))]
+            gc = sum(x in "GC" for x in t[at : at + 1000].translate(bases)) / min(1000, len(t) - at)
+            expected[str(i), at, min(at + 1000, len(t))] = (sum(n <= 150 for n in lengths), sum(n >= 151 for n in lengths), len(lengths), gc if lengths else None)
+    out = catalog.QUERIES["delfi"](spark, str(tmp_path)).collect()
+    assert len({r["idx"] for r in out}) == len(out) == len(expected)
+    for r in out:
+        short, long, n, gc = expected[r["contig"], r["start"], r["stop"]]
+        assert (r["short"], r["long"], r["num_frags"]) == (short, long, n) and r["gc"] == (None if gc is None else pytest.approx(gc))
+    whole = [r for r in out if r["num_frags"] and r["long"]]
+    for c in delfi.CORRECTED:
+        x, y = np.array([r["gc"] for r in whole]), np.array([float(r[c]) for r in whole])
+        grid = np.arange(x.min(), x.max() + 0.01, 0.01)
+        fixed = y - np.interp(x, grid, kernels.loess(x, y, grid, 0.75)) + np.median(y)
+        assert np.allclose([r[f"{c}_corrected"] for r in whole], fixed)
