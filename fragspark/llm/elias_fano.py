@@ -164,13 +164,19 @@ class Trie:
         """The trie in a file that ``levels`` was written to with tofile()."""
         return cls(np.memmap(path, np.uint64, "r"))
 
+    def place(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """The place of each pair in level two, which is its number as a context of a further level; -1 where it is missing."""
+        place = self.contexts.find(context)
+        out = np.full(len(context), -1, dtype=np.int64)
+        there = np.flatnonzero((place >= 0) & (successor < self.span))
+        out[there] = self.successors.find(place[there].astype(np.uint64) * np.uint64(self.span) + successor[there].astype(np.uint64))
+        return out
+
     def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """The code of each pair; 0 where the context or its successor is missing."""
-        place = self.contexts.find(context)
+        at = self.place(context, successor)
         out = np.zeros(len(context), dtype=np.uint8)
-        there = np.flatnonzero((place >= 0) & (successor < self.span))
-        at = self.successors.find(place[there].astype(np.uint64) * np.uint64(self.span) + successor[there].astype(np.uint64))
-        out[there[at >= 0]] = self.codes[at[at >= 0]]
+        out[at >= 0] = self.codes[at[at >= 0]]
         return out
 
     def fan_out(self, context: np.ndarray) -> np.ndarray:

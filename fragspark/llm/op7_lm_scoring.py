@@ -1,4 +1,4 @@
-"""LM scoring with an Elias-Fano n-gram trie, trained and queried in rounds over blocks and shards.
+"""LM scoring with Elias-Fano n-gram tries of orders two and three, trained and queried in rounds over blocks and shards.
 
 Round one counts tokens: blocks send their distinct tokens with training counts, shards
 add them up, number the tokens and answer. Round two counts bigrams: blocks send their
@@ -10,7 +10,14 @@ then score their documents. No part of the model is held whole anywhere; what is
 gathered grows with the corpus, and the trie's shards are bounded by the share of keys they own.
 
 p(w | h) = (c(h, w) - D) / c(h) + D * T(h) / c(h) * p0(w), with T(h) the distinct successors
-of h, and p0(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), the base; an unseen context gives p0.
+of h, and p0(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), the base; an unseen context gives p0. ``score`` sums these.
+
+Trigrams go along in round two, to the shard of their two-token context; a context is split by
+token over as many shards as its rarer token has shares of the corpus. The shard builds two tries, one of the
+contexts' tokens and one of places of contexts in it and successors, and answers codes
+relative to its own part of the context, with that part's size and fan-out. ``trigram_score`` sums
+p(w | g, h) = (c(g, h, w) - D) / c(g, h) + D * T(g, h) / c(g, h) * p(w | h), with p(w | h) for
+a first token and for unseen contexts.
 
 Null or empty text: the end token alone. A null id is in training. Rows that repeat count
 as often as they occur. Other columns are ignored. Up to 2**32 distinct tokens.
@@ -32,7 +39,7 @@ from fragspark.llm.op6_jaccard_join import LOWER
 END = np.uint64(0x3C79AC492BA7B653)
 START = np.uint64(0x1C69B3F74AC4AE35)
 DISCOUNT = 0.75
-SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, trigram_score double"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -93,8 +100,12 @@ class _Block:
         context[begin], seen[begin] = self.span - 1, n_docs
         pair = context.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)
         self.pairs, at, self.pair = np.unique(pair, return_index=True, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
         self.pair_counts = np.bincount(self.pair, self.train, len(self.pairs)).astype(np.int64)
+        del pair, context
         self.seen = seen[at]  # the context's count, by pair
+        self.last = self.count[self.number[at]]  # the count of the second token
+        del seen, at
         ctx = self.pairs >> np.uint64(32)
         ways = 1 + self.seen * shards // max(n, 1)
         home = T.mix(ctx, 11) % np.uint64(shards)
@@ -102,6 +113,36 @@ class _Block:
         self.contexts, where, self.context = np.unique(ctx, return_index=True, return_inverse=True)
         self.context_seen, self.context_ways = self.seen[where], ways[where]
         self.context_home = home[where].astype(np.int64)
+        del ctx, ways, home, where
+        # a trigram is a pair, its context, and the token after it
+        later = np.ones(len(token), dtype=bool)
+        later[begin] = False
+        self.later = np.flatnonzero(later).astype(np.int32)
+        keys = self.pair[self.later - 1].astype(np.uint64) << np.uint64(32) | token[self.later].astype(np.uint64)
+        del token, later
+        self.trigrams, self.trigram = np.unique(keys, return_inverse=True)
+        del keys
+        self.trigram = self.trigram.astype(np.int32)
+        self.trigram_counts = np.bincount(self.trigram, self.train[self.later], len(self.trigrams)).astype(np.int64)
+        self.trigram_pair = (self.trigrams >> np.uint64(32)).astype(np.int32)
+        self.pair_ways = 1 + np.minimum(self.seen, self.last) * shards // max(n, 1)
+        self.pair_home = (T.mix(self.pairs, 13) % np.uint64(shards)).astype(np.int64)
+        way = T.mix(self.trigrams & np.uint64(0xFFFFFFFF), 14) % self.pair_ways[self.trigram_pair].astype(np.uint64)
+        self.trigram_home = ((self.pair_home[self.trigram_pair] + way.astype(np.int64)) % shards).astype(np.int32)
+
+    def dealt_trigrams(self, shards: int):
+        """For each shard: the numbers of the pairs that it must tell about as contexts, the numbers of the trigrams that it owns, and the place of each one's context."""
+        by = np.argsort(self.trigram_home, kind="stable")
+        cuts = np.searchsorted(self.trigram_home[by], np.arange(shards + 1))
+        used = np.unique(self.trigram_pair)
+        ways = np.minimum(self.pair_ways[used], shards)
+        rows = np.repeat(used, ways)
+        home = (self.pair_home[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(ways) - ways, ways)) % shards
+        order = np.lexsort((rows, home))
+        edges = np.searchsorted(home[order], np.arange(shards + 1))
+        for s in range(shards):
+            pairs, own = rows[order[edges[s] : edges[s + 1]]], by[cuts[s] : cuts[s + 1]]
+            yield s, pairs, own, np.searchsorted(pairs, self.trigram_pair[own])
 
     def dealt(self, shards: int):
         """For each shard: the numbers of the contexts that it must tell about, and of the pairs that it owns, both sorted."""
@@ -160,29 +201,38 @@ def _pairs(shards: int):
         block, src = _Block(table), table.column("block")[0].as_py()
         told = list(X.read(answers))
         block.learnt(told, shards)
+        del block.pair, block.trigram, block.number, block.later, block.doc  # only scoring needs them
         # what round one said goes on to the last pass by way of a shard
         out = [(s, src, 9, data) for _, s, _, data in told]
         for s, contexts, pairs in block.dealt(shards):
             if len(contexts):
                 body = [T.pack_sorted(block.contexts[contexts]), _planes(block.context_seen[contexts]), T.pack_sorted(block.pairs[pairs]), _planes(block.pair_counts[pairs])]
                 out.append((s, src, 1, np.int64(block.span).tobytes() + _with_length(body)))
+        for s, pairs, own, place in block.dealt_trigrams(shards):
+            if len(pairs):
+                body = [T.pack_sorted(block.pairs[pairs]), _planes(np.bincount(place, minlength=len(pairs))), _planes(block.trigrams[own] & np.uint64(0xFFFFFFFF)), _planes(block.trigram_counts[own])]
+                out.append((s, src, 2, np.int64(block.span).tobytes() + _with_length(body)))
         return X.messages(out)
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Builds the shard's trie and answers from it: codes of pairs, fan-outs of contexts."""
-    sent = list(X.read(table))
-    out = [(src, dst, kind, data) for dst, src, kind, data in sent if kind == 9]
-    rows = []
-    span = 1
-    for _, src, kind, data in sent:
-        if kind == 1:
-            span = int(np.frombuffer(data, np.int64, 1)[0])
-            contexts, seen, pairs, counts = _parts(data[8:], 4)
-            contexts, pairs = T.unpack_sorted(contexts), T.unpack_sorted(pairs)
-            rows.append((src, contexts, _values(seen, len(contexts)), pairs, _values(counts, len(pairs))))
+    """Builds the shard's tries and answers from them."""
+    kinds = table.column("kind")
+    sent = {k: list(X.read(table.filter(pa.compute.equal(kinds, k)))) for k in (9, 1)}
+    out = [(src, dst, kind, data) for dst, src, kind, data in sent.pop(9)] + _pair_answers(sent.pop(1))
+    return X.messages(out + _trigram_answers(list(X.read(table.filter(pa.compute.equal(kinds, 2))))))
+
+
+def _pair_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
+    """Codes of pairs, fan-outs of contexts."""
+    out, rows, span = [], [], 1
+    for _, src, _, data in sent:
+        span = int(np.frombuffer(data, np.int64, 1)[0])
+        contexts, seen, pairs, counts = _parts(data[8:], 4)
+        contexts, pairs = T.unpack_sorted(contexts), T.unpack_sorted(pairs)
+        rows.append((src, contexts, _values(seen, len(contexts)), pairs, _values(counts, len(pairs))))
     if rows:
         keys, number = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
         counts = np.bincount(number, np.concatenate([r[4] for r in rows]), len(keys)).astype(np.int64)
@@ -195,13 +245,41 @@ def _answer(table: pa.Table) -> pa.Table:
         for src, contexts, _, pairs, _ in rows:
             codes = trie.find(pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF))
             out.append((src, sent[0][0], 1, _with_length([codes.tobytes(), _planes(trie.fan_out(contexts))])))
-    return X.messages(out)
+    return out
+
+
+def _trigram_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
+    """Codes of trigrams, and fan-outs and sizes of the shard's parts of their contexts."""
+    rows, span, low = [], 1, np.uint64(0xFFFFFFFF)
+    for _, src, _, data in sent:
+        span = int(np.frombuffer(data, np.int64, 1)[0])
+        pairs, many, tokens, counts = _parts(data[8:], 4)
+        pairs = T.unpack_sorted(pairs)
+        rows.append((src, pairs, _values(many, len(pairs)), _values(tokens, len(tokens) // 4), _values(counts, len(counts) // 4)))
+    if not rows:
+        return []
+    # the contexts of trigrams in training, by number
+    keys = np.unique(np.concatenate([np.repeat(p, m)[c > 0] for _, p, m, _, c in rows]))
+    middle = Trie.mapped(Trie.levels(keys >> np.uint64(32), keys & low, np.zeros(len(keys), np.uint8), span))
+    places = [middle.place(p >> np.uint64(32), p & low) for _, p, *_ in rows]
+    all_places = np.concatenate([np.repeat(at, m)[c > 0] for at, (_, _, m, _, c) in zip(places, rows)])
+    all_tokens = np.concatenate([t[c > 0] for *_, t, c in rows])
+    found, number = np.unique(all_places.astype(np.uint64) << np.uint64(32) | all_tokens.astype(np.uint64), return_inverse=True)
+    counts = np.bincount(number, np.concatenate([c[c > 0] for *_, c in rows]), len(found)).astype(np.int64)
+    context = (found >> np.uint64(32)).astype(np.int64)
+    sizes = np.append(np.bincount(context, counts, len(keys)).astype(np.int64), 0)  # the last one for contexts out of training
+    trie = Trie.mapped(Trie.levels(found >> np.uint64(32), found & low, quantise((counts - DISCOUNT) / sizes[context]), max(span, len(keys) + 1)))
+    out = []
+    for at, (src, _, many, tokens, _) in zip(places, rows):
+        codes = trie.find(np.repeat(at, many).astype(np.uint64), tokens.astype(np.uint64))
+        out.append((src, sent[0][0], 2, _with_length([codes.tobytes(), _planes(trie.fan_out(at)), _planes(sizes[at])])))
+    return out
 
 
 def _score(shards: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         if not table.num_rows:
             return pa.schema(list(zip(names, types))).empty_table()
         block, told = _Block(table), list(X.read(answers))
@@ -219,11 +297,25 @@ def _score(shards: int):
         seen = block.context_seen
         back = np.where(seen > 0, DECODED[quantise(DISCOUNT * fan / np.maximum(seen, 1))], 1.0)
         p = DECODED[codes][block.pair] + back[block.context[block.pair]] * p0
+        after = np.minimum(p, 1.0)
+        share, fan, size = np.zeros(len(block.trigrams)), np.zeros(len(block.pairs), np.int64), np.zeros(len(block.pairs), np.int64)
+        found = {s: data for _, s, kind, data in told if kind == 2}
+        for s, pairs, own, place in block.dealt_trigrams(shards):
+            if s in found:
+                codes, fans, sizes = _parts(found[s], 3)
+                sizes = _values(sizes, len(pairs))
+                share[own] = DECODED[np.frombuffer(codes, np.uint8)] * sizes[place]
+                fan[pairs] += _values(fans, len(pairs))
+                size[pairs] += sizes
+        back = np.where(size > 0, DECODED[quantise(DISCOUNT * fan / np.maximum(size, 1))], 1.0)
+        share /= np.maximum(size[block.trigram_pair], 1)
+        third = after.copy()
+        third[block.later] = np.minimum(share[block.trigram] + back[block.pair[block.later - 1]] * after[block.later], 1.0)
         n = len(block.ids)
         known = np.bincount(block.doc, block.count[block.number] > 0, n).astype(np.int64)
         columns = [
             block.table.column("id"), block.held, np.diff(block.first), known, np.full(n, block.n),
-            np.bincount(block.doc, np.log10(p0), n), np.bincount(block.doc, np.log10(np.minimum(p, 1.0)), n),
+            np.bincount(block.doc, np.log10(p0), n), np.bincount(block.doc, np.log10(after), n), np.bincount(block.doc, np.log10(third), n),
         ]
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
@@ -231,7 +323,7 @@ def _score(shards: int):
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, trigram_score) for every row."""
     shards, _, _ = X.block_count(docs, block_bytes, text_col)
     blocks = X.to_blocks(docs, shards, id_col, text_col)
     counted = X.by_block(blocks, _count(shards), X.MESSAGE_SQL)

@@ -147,6 +147,36 @@ def test_lm_scores(docs, rows, block):
         assert g.base_score == pytest.approx(base, rel=1e-9) and g.score == pytest.approx(model, abs=0.02 * len(w))
 
 
+@pytest.mark.parametrize("block", [1 << 13, 1 << 20])
+def test_lm_trigram_scores(docs, rows, block):
+    got = {r.doc_id: r for r in score(docs, block_bytes=block).collect()}
+    texts = {r[0]: words(r[1], lower=True) + [None] for r in rows}
+    grams = [Counter() for _ in range(4)]
+    for i, w in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for k in (1, 2, 3):
+                grams[k].update(tuple([0, *w][j : j + k]) for j in range(int(k == 1), len(w) + 2 - k))
+    n, v = sum(grams[1].values()), len(grams[1])
+    size, fan = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
+    for k in (2, 3):
+        for g, c in grams[k].items():
+            size[k][g[:-1]] += c
+            fan[k][g[:-1]] += 1
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[1][g] + 0.1) / (n + 0.1 * (v + 1))
+        c = size[len(g)][g[:-1]]
+        return p(g[1:]) if not c else (max(grams[len(g)][g] - 0.75, 0) + 0.75 * fan[len(g)][g[:-1]] * p(g[1:])) / c
+
+    better = 0
+    for i, w in texts.items():
+        model = sum(math.log10(p(tuple([0, *w][max(0, j - 1) : j + 2]))) for j in range(len(w)))
+        assert got[i].trigram_score == pytest.approx(model, abs=0.03 * len(w)), i
+        better += got[i].trigram_score > got[i].score + 1
+    assert better
+
+
 def test_lm_edges(empty, odd):
     assert score(empty).collect() == []
     out = score(odd).collect()
