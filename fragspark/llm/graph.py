@@ -1,7 +1,7 @@
 """Connected components of large graphs, as DataFrames: alternating large-star and small-star steps.
 
-Each step hangs every neighbour on the smallest one known; hot nodes are only ever
-aggregated (a minimum) or joined, so AQE can split them. The edges are written to the
+Each step hangs every neighbour on the smallest one known. Hot nodes are aggregated (a minimum, combined
+before the shuffle) or joined, and a join deals a node's edges over SALT keys. The edges are written to the
 shared folder after each round, so no lineage grows and a lost executor costs one round.
 """
 
@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from fragspark.llm.shared import stored
 
 
+#: A node's edges are joined in so many parts.
+SALT = 16
+
+
+def _hung(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """(u, v, m): each edge with its u's entry in ``least`` (u, m)."""
+    dealt = edges.withColumn("part", F.expr(f"cast(pmod(xxhash64(v), {SALT}) as int)"))
+    return dealt.join(least.withColumn("part", F.explode(F.expr(f"sequence(0, {SALT - 1})"))), ["u", "part"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its smallest node. Self-loops and nulls are left out."""
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -20,9 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(both.where("v < u").groupBy("u").agg(F.min("v").alias("v"))).where("u <> v").distinct()
+        larger = _hung(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = larger.unionByName(both.where("v < u").groupBy("u").agg(F.min("v").alias("v"))).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = _hung(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
         new = _state(after)
         now = after

@@ -7,15 +7,21 @@ sum of the smaller count in every group. An R-tree over the points bounds the
 overlap of two boxes the same way, from the boxes' upper corners, and the join walks pairs of
 boxes whose bound admits a link. Surviving leaf pairs are verified by exact intersection.
 
-Which documents a task's tree must hold follows from the same grouping: cut finer, into
+Which documents meet at all follows from the same grouping: cut finer, into
 more groups than two linked sets can differ in elements, any link leaves at least one
-group of both sets equal. Signatures of these groups meet in shards; they make the clusters
-within which all links lie. Clusters are packed, and large ones split, into
-leaves of bounded size in order of their points; a task joins one leaf with itself or with another
-leaf of the same cluster that the corner bound admits. Links become a forest in the task, and
-components of forests and of clusters are found by distributed star steps.
-
-Texts are read twice: once for sizes, points and signatures, once for the sets of documents
+group of both sets equal. Signatures of these groups meet in shards. A set that has elements in more
+groups than it may differ in needs no signature of an empty group, and there are enough groups that nearly every set has:
+an empty group says nothing, and its signature would bring all sets together. Documents of a signature meet as points: an R-tree join of
+the bucket keeps those pairs whose bound admits a link. A signature that too many share for one task
+brings its documents together without that test. The pairs make the clusters within which all links lie.
+
+Clusters are packed, and large ones split, into leaves of bounded size in order of their points; a task joins one leaf, and a few documents of
+other leaves of its cluster, with itself. Only what that leaves unconnected goes on to pairs of leaves: a box for the largest component of each leaf, boxes
+for the rest, and a pair of boxes meets if they are of different components and their corner bound admits a link. So a group of copies of any size
+costs a few copies of each member, not one for every leaf. Links become a forest in the task, and
+components are found by distributed star steps.
+
+Texts are read twice, or three times where clusters are split: once for sizes, points and signatures, once for the sets of documents
 in clusters of two or more. No pair is left out, and pairs within a component
 that is already connected aren't verified again.
 
@@ -29,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragspark.llm import exchange as X
@@ -37,9 +43,12 @@ from fragspark.llm import text as T
 from fragspark.llm.graph import components
 from fragspark.llm.shared import stored
 
-DIMENSIONS = 16
+DIMENSIONS = 64
 NODE = 32
 LEAF_BYTES = 16 << 20
+#: A signature that more documents of one batch share, or more of all, brings them together without a look at their points.
+HOT, WIDE = 64, 4096
+HUBS = 16
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 RATIO = 1.5
@@ -71,8 +80,8 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndar
     return key, np.searchsorted(doc, np.arange(n + 1))
 
 
-def size_classes(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, class, groups): the size classes that each set belongs to or visits, and how many groups the class has.
+def size_classes(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, class, most elements that two linked sets of the class differ in, groups): the size classes that each set belongs to or visits.
 
     Class c holds sizes in [floor(RATIO**c), floor(RATIO**(c+1))); sets up to 100 / percent times its top visit it, as they may link with its members.
     """
@@ -87,15 +96,21 @@ def size_classes(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarra
     rows, classes = np.concatenate([row, visits]), np.concatenate([own[row], own[visits] - 1])
     # sets of sizes a and b that link differ in at most (a + b) (100 - percent) / (100 + percent) elements
     most = tops[classes] - 1
-    return rows, classes, ((most + most * 100 // percent) * (100 - percent) // (100 + percent)) + 1
+    differ = (most + most * 100 // percent) * (100 - percent) // (100 + percent)
+    # of g groups, g (1 - exp(-size / g)) have elements on average: as many as make that more than the sets may differ in
+    low = np.concatenate([[1], tops])[classes]
+    groups = np.ceil((differ + 1) / (1 - np.exp(-low / (differ + 1)))).astype(np.int64) + 2
+    return rows, classes, differ, groups
 
 
 def signatures(keys: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row): a hash of every group's elements, for every class of a set; groups without elements have one too."""
+    """(signature, row): a hash of every group's elements, for every class of a set; groups without elements count only for sets that have too few others."""
     sizes = np.diff(offs)
-    rows, classes, groups = size_classes(sizes, percent)
-    useful = groups > 1  # with one group only equal sets link
-    rows, classes, groups = rows[useful], classes[useful], groups[useful]
+    rows, classes, differ, groups = size_classes(sizes, percent)
+    useful = differ > 0  # otherwise only equal sets link
+    rows, classes, differ, groups = rows[useful], classes[useful], differ[useful], groups[useful]
+    if not len(rows):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     count = sizes[rows]
     at = np.repeat(offs[rows] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     base = np.cumsum(groups) - groups
@@ -108,7 +123,10 @@ def signatures(keys: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.nda
     out = sums[edges[1:]] - sums[edges[:-1]]
     number = np.arange(total) - np.repeat(base, groups)
     out = T.mix(out + T.mix((np.repeat(classes, groups).astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64), 7))
-    return out, np.repeat(rows, groups)
+    full = edges[1:] > edges[:-1]
+    few = np.add.reduceat(full, base, dtype=np.int64) <= differ
+    told = full | np.repeat(few, groups)
+    return out[told], np.repeat(rows, groups)[told]
 
 
 def points(keys: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -118,16 +136,45 @@ def points(keys: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.bincount(doc * DIMENSIONS + group, minlength=(len(offs) - 1) * DIMENSIONS).reshape(-1, DIMENSIONS)
 
 
-READ_SQL = "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, point array<int>, dst int, data binary"
-READ = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("point", pa.list_(pa.int32())), ("dst", pa.int32()), ("data", pa.binary())])
+def packed_points(point: np.ndarray) -> pa.Array:
+    """Four bits a count, rounded up to a multiple of a scale that comes first: never below the count, so bounds stay bounds."""
+    scale = np.maximum(1, -(-point.max(axis=1, initial=0) // 15))
+    code = (-(-point // scale[:, None])).astype(np.uint8)
+    data = np.concatenate([scale.astype("<u4").view(np.uint8).reshape(-1, 4), code[:, ::2] | code[:, 1::2] << 4], axis=1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 + DIMENSIONS // 2), len(point), [None, pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def unpacked_points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    data = T.buffers(column)[0].reshape(-1, 4 + DIMENSIONS // 2)
+    out = np.empty((len(data), DIMENSIONS), dtype=np.int64)
+    out[:, ::2], out[:, 1::2] = data[:, 4:] & 15, data[:, 4:] >> 4
+    return out * np.ascontiguousarray(data[:, :4]).view("<u4").astype(np.int64)
+
 
+READ_SQL = "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, point binary, dst bigint, data binary"
+READ = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("point", pa.binary()), ("dst", pa.int64()), ("data", pa.binary())])
+#: Kinds of rows: a document; a message to a shard; an edge (doc_id, n) between two documents; a document of a bucket (k1).
+DOCUMENT, SENT, EDGE, MEMBER = range(4)
 
-def _read(width: int, percent: int, shards: int):
-    """A row of kind 0 for every document, and rows of kind 1 with signatures and ids for the shards."""
+
+def _rows(kind: int, **columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    full = {"kind": pa.array(np.full(n, kind, np.int32))} | columns
+    return pa.record_batch([full.get(f.name, pa.nulls(n, f.type)) for f in READ], schema=READ)
+
+
+def _read(width: int, percent: int, shards: int, bits: int, most: int):
+    """Rows of documents, and messages of signatures and ids to the shards; what goes to no shard has a number below zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own = -1 - (TaskContext.get().partitionId() << 24)
         for batch in batches:
             ids, (buf, offs) = batch.column(0), T.buffers(batch.column(1))
+            known = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
+            numbers = pa.compute.fill_null(ids, 0).to_numpy()
+            first, second = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             found = []
             i = 0
             while i < len(offs) - 1:
@@ -135,90 +182,192 @@ def _read(width: int, percent: int, shards: int):
                 keys, at = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
                 sizes = np.diff(at)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(keys, seed))]) for seed in (1, 2)]
-                k1, k2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
+                first[i:j], second[i:j] = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
                 empty = sizes == 0
-                point = points(keys, at)
-                table = [pa.array(np.zeros(j - i, np.int32)), ids[i:j], pa.array(sizes), pa.array(k1, mask=empty), pa.array(k2, mask=empty), pa.FixedSizeListArray.from_arrays(pa.array(point.ravel(), pa.int32()), DIMENSIONS).cast(pa.list_(pa.int32())), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())]
-                yield pa.record_batch(table, schema=READ)
-                known = pa.compute.is_valid(ids[i:j]).to_numpy(zero_copy_only=False)
-                # of equal sets in this piece, the smallest id speaks for all
-                number = pa.compute.fill_null(ids[i:j], 0).to_numpy()
-                by = np.lexsort((number, k2, k1))
-                head = np.ones(len(by), dtype=bool)
-                head[1:] = (k1[by[1:]] != k1[by[:-1]]) | (k2[by[1:]] != k2[by[:-1]])
-                speaks = np.zeros(len(by), dtype=bool)
-                speaks[by[head]] = True
-                if known.all():
-                    sizes_speaking = np.where(speaks, sizes, 0)
-                else:
-                    sizes_speaking = np.where(known, sizes, 0)
-                keep = np.repeat(sizes_speaking > 0, sizes)
-                sig, row = signatures(keys[keep], np.concatenate([[0], np.cumsum(sizes_speaking)]), percent)
-                found.append((sig, number[row]))
+                yield _rows(
+                    DOCUMENT, doc_id=ids[i:j], n=pa.array(sizes), k1=pa.array(first[i:j], mask=empty), k2=pa.array(second[i:j], mask=empty),
+                    point=packed_points(points(keys, at)), dst=pa.array(np.full(j - i, own)),
+                )
+                told = np.where(known[i:j], sizes, 0)
+                sig, row = signatures(keys[np.repeat(told > 0, sizes)], np.concatenate([[0], np.cumsum(told)]), percent)
+                found.append((sig >> np.uint64(64 - bits), row + i))
                 i = j
             if not found:
                 continue
-            sig, number = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            by = np.argsort(sig, kind="stable")
+            sig, row = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            # of equal sets in this batch, the smallest id speaks for all
+            by = np.lexsort((numbers, second, first))
+            order = by[known[by]]
+            same = np.ones(len(order), dtype=bool)
+            same[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+            speaks = np.zeros(len(ids), dtype=bool)
+            speaks[order[same]] = True
+            keep = speaks[row]
+            sig, number = sig[keep], numbers[row[keep]]
+            by = np.lexsort((number, sig))
             sig, number = sig[by], number[by]
-            cuts = X.shard_bounds(sig, 64, shards)
-            parts = [(s, _packed(sig[cuts[s] : cuts[s + 1]], number[cuts[s] : cuts[s + 1]])) for s in range(shards) if cuts[s] < cuts[s + 1]]
+            # a hot signature is told once; its documents hang on the smallest here
+            fresh = np.ones(len(sig), dtype=bool)
+            fresh[1:] = sig[1:] != sig[:-1]
+            heads = np.flatnonzero(fresh)
+            many = np.repeat(np.diff(np.append(heads, len(sig))), np.diff(np.append(heads, len(sig)))) > most
+            least = number[np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), 0))] if len(sig) else number
+            hang = many & (number != least)
+            if hang.any():
+                pairs = np.unique(np.column_stack([number[hang], least[hang]]), axis=0)
+                yield _rows(EDGE, doc_id=pa.array(pairs[:, 0]), n=pa.array(pairs[:, 1]), dst=pa.array(np.full(len(pairs), own)))
+            told = ~many | fresh
+            sig, number, many = sig[told], number[told], many[told]
+            cuts = X.shard_bounds(sig, bits, shards)
+            parts = np.flatnonzero(np.diff(cuts)).tolist()
             if parts:
-                m = len(parts)
-                nulls = [pa.nulls(m, f.type) for f in READ]
-                nulls[0], nulls[6], nulls[7] = pa.array([1] * m, pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())
-                yield pa.record_batch(nulls, schema=READ)
+                data = [_packed(*(x[cuts[s] : cuts[s + 1]] for x in (sig, number, many))) for s in parts]
+                yield _rows(SENT, dst=pa.array(parts, pa.int64()), data=pa.array(data, pa.binary()))
+            own -= 1
 
     return run
 
 
-def _packed(sig: np.ndarray, ids: np.ndarray) -> bytes:
-    """Sorted signatures and their ids, the ids as distances to the smallest, in four bytes where they fit."""
-    low = int(ids.min())
-    wide = int(ids.max()) - low >= 1 << 32
-    far = ids.astype(np.uint64) - np.uint64(low & (2**64 - 1))
-    return np.array([low, wide, len(ids)], np.int64).tobytes() + far.astype(np.uint64 if wide else np.uint32).tobytes() + T.pack_sorted(sig)
-
-
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    low, wide, n = (int(x) for x in np.frombuffer(data, np.int64, 3))
-    far = np.frombuffer(data, np.uint64 if wide else np.uint32, n, 24).astype(np.uint64)
-    return T.unpack_sorted(data[24 + n * (8 if wide else 4) :]), (far + np.uint64(low & (2**64 - 1))).view(np.int64)
-
-
-def _stars(table: pa.Table) -> pa.Table:
-    """Of each signature, edges from all ids to the smallest, as a forest."""
-    parts = [_unpacked(d.as_py()) for d in table.column("data")]
-    sig, ids = (np.concatenate([p[i] for p in parts]) for i in range(2))
-    by = np.lexsort((ids, sig))
-    sig, ids = sig[by], ids[by]
-    first = np.ones(len(sig), dtype=bool)
-    first[1:] = sig[1:] != sig[:-1]
-    least = ids[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-    node, place = np.unique(np.concatenate([ids[ids != least], least[ids != least]]), return_inverse=True)
-    half = len(place) // 2
-    forest = Forest(len(node))  # the shard's edges as a forest: each id once, with the smallest id that it reaches here
-    for a, b in np.unique(place.reshape(2, half).T, axis=0).tolist():
-        forest.join(a, b)
-    root = np.array([forest.root(k) for k in range(len(node))], dtype=np.int64)
-    off = root != np.arange(len(node))
-    return pa.table({"u": pa.array(node[off], pa.int64()), "v": pa.array(node[root[off]], pa.int64())})
-
-
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers leaves along the order of a partition; a leaf ends when it holds LEAF_BYTES of sets."""
-    from pyspark import TaskContext
-
-    leaf, load = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        out = []
-        for n in batch.column(batch.schema.get_field_index("n")).to_pylist():
-            size = max(8 * n, 8192)
-            if load and load + size > LEAF_BYTES:
-                leaf, load = leaf + 1, 0
-            load += size
-            out.append(leaf)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "leaf"])
+def _packed(sig: np.ndarray, number: np.ndarray, hot: np.ndarray) -> bytes:
+    """Sorted signatures, whether they are hot, and of each the place of its id in a list of ids."""
+    ids, place = np.unique(number, return_inverse=True)
+    place = place.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+    body = [ids.tobytes(), place.tobytes(), np.packbits(hot).tobytes(), T.pack_sorted(sig)]
+    return np.array([len(ids), len(sig)], np.int64).tobytes() + b"".join(body)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k, n = (int(x) for x in np.frombuffer(data, np.int64, 2))
+    kind = np.dtype(np.uint16 if k <= 1 << 16 else np.uint32)
+    ids, place = np.frombuffer(data, np.int64, k, 16), np.frombuffer(data, kind, n, 16 + 8 * k)
+    at = 16 + 8 * k + kind.itemsize * n
+    hot = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    return T.unpack_sorted(data[at + -(-n // 8) :]), ids[place], hot
+
+
+def _buckets(wide: int):
+    """A shard's signatures that two documents share, as rows of their documents; signatures with the same documents are one bucket. Hot ones become stars."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("dst")[0].as_py() < 0:
+            return table
+        parts = [_unpacked(d.as_py()) for d in table.column("data")]
+        sig, ids, hot = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        by = np.lexsort((~hot, ids, sig))
+        sig, ids, hot = sig[by], ids[by], hot[by]
+        fresh = np.ones(len(sig), dtype=bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+        sig, ids, hot = sig[fresh], ids[fresh], hot[fresh]
+        head = np.flatnonzero(np.append([True], sig[1:] != sig[:-1]))
+        count = np.diff(np.append(head, len(sig)))
+        hot = np.logical_or.reduceat(hot, head) | (count > wide)
+        least = np.repeat(ids[head], count)
+        star = np.repeat(hot, count) & (ids != least)
+        edges = np.unique(np.column_stack([ids[star], least[star]]), axis=0)
+        bucket = np.add.reduceat(T.mix(ids.view(np.uint64), 21), head)
+        told = np.flatnonzero((count > 1) & ~hot)
+        told = told[np.unique(bucket[told], return_index=True)[1]]
+        size = count[told]
+        at = np.repeat(head[told] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        rows = [_rows(EDGE, doc_id=pa.array(edges[:, 0]), n=pa.array(edges[:, 1])), _rows(MEMBER, doc_id=pa.array(ids[at]), k1=pa.array(np.repeat(bucket[told], size).view(np.int64)))]
+        return pa.Table.from_batches(rows, schema=READ)
+
+    return run
+
+
+def unite(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that it reaches over the edges (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
+
+
+def may_link(point: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the bounds of the pairs (a[i], b[i]) admit a link."""
+    ok = (100 * size[a] >= percent * size[b]) & (100 * size[b] >= percent * size[a])
+    live = np.flatnonzero(ok)
+    for i in range(0, len(live), 1 << 16):
+        p = live[i : i + (1 << 16)]
+        ok[p] = (100 + percent) * np.minimum(point[a[p]], point[b[p]]).sum(axis=1) >= percent * (size[a[p]] + size[b[p]])
+    return ok
+
+
+def _meet(percent: int):
+    """Of the documents of each bucket, the pairs that may link, as a forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, place = np.unique(table.column("doc_id").to_numpy(), return_inverse=True)
+        size, point = np.zeros(len(ids), np.int64), np.zeros((len(ids), DIMENSIONS), np.int64)
+        size[place], point[place] = table.column("n").to_numpy(), unpacked_points(table.column("point"))
+        bucket = table.column("bucket").to_numpy()
+        by = np.lexsort((place, bucket))
+        bucket, place = bucket[by], place[by]
+        head = np.flatnonzero(np.append([True], bucket[1:] != bucket[:-1]))
+        count = np.diff(np.append(head, len(bucket)))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m in np.unique(count[count > 1]).tolist():
+            starts = head[count == m]
+            if m <= NODE:
+                i, j = np.triu_indices(m, 1)
+                for k in range(0, len(starts), 1 + (1 << 18) // len(i)):
+                    rows = place[starts[k : k + 1 + (1 << 18) // len(i), None] + np.arange(m)]
+                    pairs = np.unique(rows[:, i].ravel() * len(ids) + rows[:, j].ravel())
+                    u, v = pairs // len(ids), pairs % len(ids)
+                    ok = may_link(point, size, u, v, percent)
+                    a.append(u[ok])
+                    b.append(v[ok])
+                continue
+            for s in starts.tolist():
+                rows = place[s : s + m]
+                rows = rows[np.lexsort((*point[rows, :4].T, size[rows]))]
+                tree = Tree(point[rows], size[rows], np.zeros(m, np.int64))
+                label = np.arange(m)
+                for x, y in zip(*joined_boxes(tree, tree, percent)):
+                    i, j = np.arange(x * NODE, min(m, (x + 1) * NODE)), np.arange(y * NODE, min(m, (y + 1) * NODE))
+                    if (label[i] == label[i[0]]).all() and (label[j] == label[i[0]]).all():
+                        continue  # all connected already
+                    i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+                    ok = may_link(point, size, rows[i], rows[j], percent) & (i < j)
+                    i, j = i[ok], j[ok]
+                    if len(i):
+                        old = np.unique(label[np.concatenate([i, j])])
+                        new = old[unite(np.searchsorted(old, label[i]), np.searchsorted(old, label[j]), len(old))]
+                        at = np.minimum(np.searchsorted(old, label), len(old) - 1)
+                        label = np.where(old[at] == label, new[at], label)
+                a.append(rows)
+                b.append(rows[label])
+        label = unite(np.concatenate(a), np.concatenate(b), len(ids))
+        off = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"u": pa.array(ids[off], pa.int64()), "v": pa.array(ids[label[off]], pa.int64())})
+
+    return run
+
+
+def _leaves(leaf_bytes: int):
+    """Numbers leaves along the order of a partition; a leaf ends when it holds ``leaf_bytes`` of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        leaf, load = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            out = []
+            for n in batch.column(batch.schema.get_field_index("n")).to_pylist():
+                size = max(8 * n, 8192)
+                if load and load + size > leaf_bytes:
+                    leaf, load = leaf + 1, 0
+                load += size
+                out.append(leaf)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "leaf"])
+
+    return run
 
 
 class Tree:
@@ -369,47 +518,94 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def _with_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        point = pa.FixedSizeListArray.from_arrays(pa.array(unpacked_points(batch.column(4)).ravel(), pa.int32()), DIMENSIONS).cast(pa.list_(pa.int32()))
+        yield pa.record_batch([*[batch.column(i) for i in range(4)], point], names=["doc_id", "cluster", "leaf", "n", "point"])
+
+
+def _verified(texts: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links as a forest (u, v) within the tasks (doc_id, cluster, side, task): the texts meet that list in one shuffle, whatever the sizes; a list
+    small enough to be broadcast today isn't at the next size."""
+    wanted = tasks.groupBy("doc_id", "cluster").agg(F.collect_set(F.struct("side", "task")).alias("tasks"))
+    chosen = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cluster", "tasks")
+    sets = chosen.mapInArrow(_sets(width), "doc_id bigint, cluster bigint, tasks array<struct<side:int,task:string>>, data binary")
+    sent = sets.select("doc_id", "cluster", "data", F.explode("tasks").alias("t")).select("t.task", "t.side", "doc_id", "cluster", "data")
+    return stored(sent.groupBy("task").applyInArrow(_verify(percent), "u bigint, v bigint"), "jaccard-links")
+
+
+def _crossing(split: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The tasks of pairs of leaves of one cluster: (doc_id, cluster, side, task).
+
+    ``split``: documents of clusters of several leaves. In a leaf the largest component is one box, the rest are boxes of NODE documents, or one where
+    they are many. Two boxes of different leaves meet unless they are of one component or the corner bound excludes a link.
+    """
+    rows = split.mapInArrow(_with_points, "doc_id bigint, cluster bigint, leaf bigint, n bigint, point array<int>")
+    found = components(links).select(F.col("node").alias("doc_id"), "component")
+    rows = rows.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = rows.groupBy("cluster", "leaf", "component").count()
+    top = sizes.groupBy("cluster", "leaf").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("all"))
+    top = top.select("cluster", "leaf", F.col("m.component").alias("top"), (F.col("all") - F.col("m.count")).alias("others"))
+    rows = rows.join(top, ["cluster", "leaf"]).withColumn("main", F.col("component") == F.col("top"))
+    nth = F.row_number().over(Window.partitionBy("leaf", "cluster", "main").orderBy("n", *[F.col("point")[k] for k in range(4)], "doc_id"))
+    box = F.when(F.col("main"), -1).when(F.col("others") > NODE * NODE, 0).otherwise(F.floor((nth - 1) / NODE)).cast("int")
+    rows = stored(rows.withColumn("box", box).select("doc_id", "cluster", "leaf", "box", "component", "n", "point"), "jaccard-boxes")
+    corner = F.array(*[F.max(F.col("point")[k]) for k in range(DIMENSIONS)])
+    boxes = rows.groupBy("cluster", "leaf", "box").agg(corner.alias("corner"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("component"))
+    a, b = boxes.alias("a"), boxes.alias("b")
+    bound = F.expr("aggregate(zip_with(a.corner, b.corner, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+    pairs = a.join(b, F.expr(f"a.cluster = b.cluster and a.leaf < b.leaf and 100 * a.high >= {percent} * b.low and 100 * b.high >= {percent} * a.low"))
+    pairs = pairs.where("not (a.box = -1 and b.box = -1 and a.component = b.component)").where((100 + percent) * bound >= percent * (F.col("a.low") + F.col("b.low")))
+    ends = []
+    for side, own, other in ((0, "a", "b"), (1, "b", "a")):
+        task = F.concat_ws("-", "a.leaf", "a.box", "b.leaf", "b.box", "a.cluster")
+        ends.append(pairs.select(F.col("a.cluster").alias("cluster"), F.col(f"{own}.leaf").alias("leaf"), F.col(f"{own}.box").alias("box"), F.col(f"{other}.corner").alias("corner"), F.col(f"{other}.low").alias("low"), F.col(f"{other}.high").alias("high"), F.lit(side).alias("side"), task.alias("task")))
+    # a document goes to those pairs whose other box admits a link with its own point
+    reach = F.expr("aggregate(zip_with(point, corner, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+    sent = rows.join(ends[0].unionByName(ends[1]), ["cluster", "leaf", "box"]).where((100 + percent) * reach >= percent * (F.col("n") + F.col("low")))
+    return sent.where((100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))).select("doc_id", "cluster", "side", "task")
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; links need a Jaccard similarity of percent / 100 of word shingles."""
-    shards, _, _ = X.block_count(docs, block_bytes, text_col)
+    shards, _, size = X.block_count(docs, block_bytes, text_col)
+    bits = min(64, int(max(size, 1 << 16)).bit_length() + 8)  # of signatures; two that agree by chance only meet in vain
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    read = stored(texts.mapInArrow(_read(width, percent, shards), READ_SQL), "jaccard")
-    info = read.where("kind = 0").select("doc_id", "n", "k1", "k2", "point")
-    stars = read.where("kind = 1").select("dst", "data").groupBy("dst").applyInArrow(_stars, "u bigint, v bigint")
-    clusters = components(stars)
-
+    read = stored(texts.mapInArrow(_read(width, percent, shards, bits, HOT), READ_SQL).groupBy("dst").applyInArrow(_buckets(WIDE), READ_SQL), "jaccard")
+    info = read.where(F.col("kind") == DOCUMENT).select("doc_id", "n", "k1", "k2", "point")
     classes = info.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps = info.join(classes, ["k1", "k2"]).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "point")
+    buckets = read.where(F.col("kind") == MEMBER).select("doc_id", F.col("k1").alias("bucket")).distinct()
+    met = read.where(F.col("kind") == MEMBER).count()
+    parts = max(8, -(-met * 128 // LEAF_BYTES))
+    # a bucket's documents by their points; equal sets meet as classes, so only the representatives' count
+    placed = buckets.join(reps, "doc_id").select("bucket", "doc_id", "n", "point", F.expr(f"cast(pmod(bucket, {parts}) as int)").alias("part"))
+    near = placed.groupBy("part").applyInArrow(_meet(percent), "u bigint, v bigint")
+    hot = read.where(F.col("kind") == EDGE).select(F.col("doc_id").alias("u"), F.col("n").alias("v"))
+    clusters = components(near.unionByName(hot))
+
     members = reps.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     load = members.agg(F.sum(F.greatest(F.col("n") * 8, F.lit(8192)))).first()[0] or 0
     parts = max(1, -(-int(load) // LEAF_BYTES))
-    order = ["cluster", "n", *[F.col("point")[k] for k in range(4)], "doc_id"]
+    order = ["cluster", "n", "point", "doc_id"]
     # leaves follow the load, however many partitions the session deals: each cut through a cluster costs pairs
     sorted_members = members.repartitionByRange(parts, *order).coalesce(parts).sortWithinPartitions(*order)
-    leaves = stored(sorted_members.mapInArrow(_leaves, "doc_id bigint, n bigint, point array<int>, cluster bigint, leaf bigint"), "jaccard-leaves")
-    corner = F.array(*[F.max(F.col("point")[k]) for k in range(DIMENSIONS)])
-    boxes = leaves.groupBy("cluster", "leaf").agg(corner.alias("corner"), F.min("n").alias("low"), F.max("n").alias("high"))
-    split = boxes.join(boxes.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "cluster")
-    a, b = split.alias("a"), split.alias("b")
-    bound = F.expr("aggregate(zip_with(a.corner, b.corner, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-    pairs = a.join(b, F.expr(f"a.cluster = b.cluster and a.leaf < b.leaf and 100 * a.high >= {percent} * b.low and 100 * b.high >= {percent} * a.low"))
-    pairs = pairs.where((100 + percent) * bound >= percent * (F.col("a.low") + F.col("b.low"))).select(F.col("a.cluster").alias("cluster"), F.col("a.leaf").alias("left"), F.col("b.leaf").alias("right"))
-    task = F.concat_ws("-", "cluster", "left", "right").alias("task")
-    ends = pairs.select("cluster", F.col("left").alias("leaf"), F.col("right").alias("other"), F.lit(0).alias("side"), task)
-    ends = ends.unionByName(pairs.select("cluster", F.col("right").alias("leaf"), F.col("left").alias("other"), F.lit(1).alias("side"), task))
-    ends = ends.join(split.select("cluster", F.col("leaf").alias("other"), "corner", "low", "high"), ["cluster", "other"])
-    # each document goes to its leaf's task, and to those of its leaf's pairs whose other box admits a link with its own point; the
-    # texts meet that list in one shuffle, whatever the sizes: a list small enough to be broadcast today isn't at the next size
-    reach = F.expr("aggregate(zip_with(point, corner, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-    crossing = leaves.join(ends, ["cluster", "leaf"]).where((100 + percent) * reach >= percent * (F.col("n") + F.col("low")))
-    crossing = crossing.where((100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))).select("doc_id", "cluster", "side", "task")
-    tasks = leaves.select("doc_id", "cluster", F.lit(0).alias("side"), F.col("leaf").cast("string").alias("task")).unionByName(crossing)
-    wanted = tasks.groupBy("doc_id", "cluster").agg(F.collect_list(F.struct("side", "task")).alias("tasks"))
-    chosen = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cluster", "tasks")
-    sets = chosen.mapInArrow(_sets(width), "doc_id bigint, cluster bigint, tasks array<struct<side:int,task:string>>, data binary")
-    sent = sets.select("doc_id", "cluster", "data", F.explode("tasks").alias("t")).select("t.task", "t.side", "doc_id", "cluster", "data")
-    forest = sent.groupBy("task").applyInArrow(_verify(percent), "u bigint, v bigint")
-    found = components(forest).select(F.col("node").alias("rep"), "component")
+    leaves = stored(sorted_members.mapInArrow(_leaves(LEAF_BYTES), "doc_id bigint, n bigint, point binary, cluster bigint, leaf bigint"), "jaccard-leaves")
+    task = F.col("leaf").cast("string").alias("task")
+    tasks = leaves.select("doc_id", "cluster", F.lit(0).alias("side"), task)
+    cut = leaves.groupBy("cluster", "leaf").agg(F.min("doc_id").alias("hub"))
+    cut = stored(cut.join(cut.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "cluster"), "jaccard-cut")
+    several = cut.limit(1).count() > 0
+    if several:
+        # a document of each of HUBS leaves goes to all leaves of its cluster: what is alike is mostly connected then
+        nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("leaf"), "leaf"))
+        hubs = cut.withColumn("nth", nth).where(F.col("nth") <= HUBS).select("cluster", F.col("hub").alias("doc_id"))
+        tasks = tasks.unionByName(hubs.join(cut.select("cluster", task), "cluster").select("doc_id", "cluster", F.lit(0).alias("side"), "task"))
+    links = _verified(texts, tasks, width, percent)
+    if several:
+        split = leaves.join(cut.select("cluster").distinct(), "cluster", "left_semi").select("doc_id", "cluster", "leaf", "n", "point")
+        links = links.unionByName(_verified(texts, _crossing(split, links, percent), width, percent))
+    found = components(links).select(F.col("node").alias("rep"), "component")
     of_class = classes.join(found, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = info.join(of_class, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -35,7 +35,7 @@ def jaccard_brute(rows, width, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("width,percent,leaf", [(3, 90, 16 << 20), (5, 80, 20_000)])
+@pytest.mark.parametrize("width,percent,leaf", [(3, 90, 16 << 20), (5, 80, 100_000)])
 def test_jaccard_components(docs, rows, width, percent, leaf, monkeypatch):
     monkeypatch.setattr(op6_jaccard_join, "LEAF_BYTES", leaf)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op6_jaccard_join.jaccard_components(docs, width, percent, block_bytes=1 << 14).collect()}
@@ -44,18 +44,55 @@ def test_jaccard_components(docs, rows, width, percent, leaf, monkeypatch):
 
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(4)
-    for size in (3, 9, 10, 11, 19, 20, 40, 100, 333):
+    for size, lopsided in [(n, False) for n in (1, 2, 3, 4, 5, 6, 9, 10, 11, 19, 20, 40, 100, 333)] + [(n, True) for n in (4, 8, 20, 60, 200)]:
         for percent in (80, 90):
             a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            if lopsided:  # all elements in few groups: signatures of empty groups must count
+                a = np.unique(a >> np.uint64(6))
             for _ in range(15):
                 keep = a[rng.random(len(a)) < rng.uniform(0.8, 1)]
-                b = np.unique(np.concatenate([keep, rng.integers(0, 2**64, rng.integers(0, 1 + size // 10), dtype=np.uint64)]))
+                more = rng.integers(0, 2**64, rng.integers(0, 1 + size // 10), dtype=np.uint64)
+                b = np.unique(np.concatenate([keep, more >> np.uint64(6) if lopsided and rng.random() < 0.7 else more]))
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and (len(a) != len(b) or (a != b).any()):
                     sig, row = op6_jaccard_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
                     assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
 
 
+def test_sets_do_not_meet_for_their_empty_groups():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 2**64, int(n), dtype=np.uint64)) for n in rng.integers(20, 400, 500)]
+    sig, row = op6_jaccard_join.signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), 80)
+    held = np.array([len(np.unique(row[sig == s])) for s in np.unique(sig)])
+    assert (held > 1).sum() < len(held) / 200
+
+
+def test_packed_points_bound_the_counts():
+    rng = np.random.default_rng(15)
+    point = rng.integers(0, 40, (50, op6_jaccard_join.DIMENSIONS)) * rng.integers(0, 60, (50, 1))
+    again = op6_jaccard_join.unpacked_points(op6_jaccard_join.packed_points(point))
+    assert (again >= point).all() and (again - point <= -(-point.max(axis=1) // 15)[:, None]).all()
+
+
+@pytest.mark.parametrize("hot,wide,leaf", [(1, 4096, 40_000), (64, 3, 200_000), (64, 4096, 1 << 20)])
+def test_large_groups_of_near_copies_and_hot_passages(spark, hot, wide, leaf, monkeypatch):
+    monkeypatch.setattr(op6_jaccard_join, "LEAF_BYTES", leaf)
+    monkeypatch.setattr(op6_jaccard_join, "HOT", hot)
+    monkeypatch.setattr(op6_jaccard_join, "WIDE", wide)
+    rng = random.Random(16)
+    prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    base, passage = prose(60), prose(30)
+    rows = []
+    for i in range(120):
+        copy = list(base) if i % 3 else prose(rng.randint(10, 60)) + passage
+        for _ in range(rng.randint(0, 3) if i % 3 else 0):
+            copy[rng.randrange(len(copy))] = rng.choice(base)
+        rows.append((i * 3, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op6_jaccard_join.jaccard_components(docs, 5, 80, block_bytes=1 << 14).collect()}
+    assert got == jaccard_brute(rows, 5, 80)
+
+
 def test_tree_join_finds_all_links():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64)) for _ in range(6)]
