@@ -20,18 +20,18 @@ from fragspark.llm.shared import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier scores 0.5 or more."""
+    """Keeps the rows that the classifier scores 0.5 or more, repeated ones each for itself; null and empty texts are scored like others. An empty table stays empty."""
     ship(spark)
     forest = op4_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return op4_classifier.classify(docs, forest, carry=docs.columns).where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the smallest id, once. Rows without an id stay."""
+    """Keeps one document of each group: the one with the smallest id. Rows that share that id stay once for each text; rows without an id, with or without text, all stay."""
     ship(spark)
     found = op6_jaccard_join.jaccard_components(docs, width=5, percent=80)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))
     kept = docs.join(stay, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     kept = kept.withColumn("once", once).where("once = 1").select("row.*")
     return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -42,7 +42,7 @@ PASSAGE_WORDS = 50
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated runs of more than 50 words, and those of 400 bytes or more, out of the texts."""
+    """Takes repeated runs of more than 50 words, and those of 400 bytes or more, out of the texts. Every row stays; a null text stays null, and a text that goes whole is empty."""
     ship(spark)
     found = op2_suffix_dedup.suffix_dedup(docs, length=2 * PASSAGE_WORDS + 1, carry=docs.columns, words=PASSAGE_WORDS)
     left = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept_text")), "n_chars": F.length("kept_text").cast("bigint")}
@@ -50,7 +50,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats a document as often as the mix takes all its words; what it takes beyond that is a row with the first words, a blank between."""
+    """Repeats a document as often as the mix takes all its words; what it takes beyond that is a row with the first words, a blank between. Texts without words are never taken."""
     ship(spark)
     key = ["_id", "_key"]
     taken = op3_mixing.mix(docs, with_key=True).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "size", "taken")
@@ -69,7 +69,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 1024 tokens."""
+    """The pieces of sequences of 1024 tokens; null and empty texts are packed as the end id alone, repeated rows and rows without an id each for itself."""
     ship(spark)
     return op10_packing.pack(docs, vocabulary_path())
 
@@ -81,7 +81,7 @@ STAGES = [
     ("mixing sources to target weights", mixture),
     ("packing", packing),
 ]
-#: The classifier and the tokenizer are beyond SQL; tests hold every stage against a brute-force version.
+#: The classifier and the tokenizer are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
