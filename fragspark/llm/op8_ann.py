@@ -9,10 +9,12 @@ A query walks all trees with one priority queue: nodes wait by the smallest marg
 by which the query was on their side, and the best goes first, whatever tree it is in.
 It stops when the leaves it has taken cover a set share of the sample. That share
 is tuned on the sample: the one at which probe queries find ``recall`` of their exact
-neighbours there. Leaves and the queries that take them meet by leaf; inner products of
-candidates are computed exactly, in double precision, on the original vectors. The
-sample's own best answers are known from the start, and their k-th score is the bar that
-other candidates must reach, so that few results travel.
+neighbours there. Leaves and the queries that take them meet by leaf; a leaf of more than CELL
+classes is dealt over as many parts. Candidates come from leaves alone. Their inner products
+are computed exactly, in double precision, on the original vectors; the k-th best of the sample's members of
+the leaves that a query takes, which are among its candidates, is the bar that others must reach, so that
+few results travel. The best are scored once more in one fixed order of addition, as are copies of
+the query, so that equal products are equal numbers.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part. Null ids take no part. An id that occurs twice counts as two rows
@@ -30,9 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fragspark.llm import text as T
 from fragspark.llm.shared import stored
 
 
+#: As many classes of a leaf are compared in one task.
+CELL = 4096
+#: So many more than asked for are scored once more: what rounding could have put in another order.
+SPARE = 8
+
+
 @dataclass
 class Forest:
     """All trees in arrays; a child below 0 is leaf -child - 1. ``members``: sample rows by leaf."""
@@ -45,6 +54,7 @@ class Forest:
     sample: np.ndarray
     sample_ids: np.ndarray
     cover: float = 1.0
+    parts: np.ndarray | None = None
 
     def leaves_of(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree."""
@@ -134,78 +144,79 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 POST_SQL = "cell bigint, ids binary, vecs binary"
-TAKE_SQL = "cell bigint, ids binary, vecs binary, bars binary, best_ids binary, best_scores binary"
+TAKE_SQL = "cell bigint, ids binary, vecs binary, bars binary"
 FOUND_SQL = "query bigint, candidate bigint, score double"
+PARTS = 20
 
 
-def _post(forest: Forest):
-    """Rows of (leaf, packed ids, packed vectors) for a batch of classes."""
+def _post(forest: Forest, dtype: str):
+    """Rows of (part of a leaf, packed ids, packed vectors) for a batch of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1)).astype(dtype)
             if not len(ids):
                 continue
             leaf = forest.leaves_of(x.astype(np.float64)).ravel()
             row = np.repeat(np.arange(len(ids)), len(forest.roots))
-            by = np.argsort(leaf, kind="stable")
-            leaf, row = leaf[by], row[by]
-            cut = np.flatnonzero(np.diff(leaf, prepend=-1))
+            part = T.mix(ids.view(np.uint64), 5)[row] % forest.parts[leaf].astype(np.uint64)
+            cell = leaf << PARTS | part.astype(np.int64)
+            by = np.argsort(cell, kind="stable")
+            cell, row = cell[by], row[by]
+            cut = np.flatnonzero(np.diff(cell, prepend=-1))
             parts = np.split(row, cut[1:])
-            yield pa.record_batch([pa.array(leaf[cut]), pa.array([ids[p].tobytes() for p in parts], pa.binary()), pa.array([x[p].astype(np.float32).tobytes() for p in parts], pa.binary())], names=["cell", "ids", "vecs"])
+            yield pa.record_batch([pa.array(cell[cut]), pa.array([ids[p].tobytes() for p in parts], pa.binary()), pa.array([x[p].tobytes() for p in parts], pa.binary())], names=["cell", "ids", "vecs"])
 
     return run
 
 
-def _search(forest: Forest, k: int):
-    """The leaves that each query takes, and what the sample answers at once (cell -1)."""
+def _search(forest: Forest, k: int, dtype: str):
+    """The leaves that each query takes, and the bar that the sample's members of these leaves set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in TAKE_SQL.split(", ")]
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1)).astype(np.float32)
+            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1)).astype(dtype)
             for low in range(0, len(ids), 256):
-                own, q = ids[low : low + 256], x[low : low + 256].astype(np.float64)
-                s = np.einsum("ij,kj->ik", q, forest.sample, optimize=True)
-                s[own[:, None] == forest.sample_ids[None, :]] = -np.inf
-                m = min(k, s.shape[1])
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m] if m else np.zeros((len(own), 0), np.int64)
-                scores = np.take_along_axis(s, best, axis=1)
-                bars = scores.min(axis=1) if m == k else np.full(len(own), -np.inf)
+                own, y = ids[low : low + 256], x[low : low + 256]
+                q, bars = y.astype(np.float64), np.full(len(own), -np.inf)
                 takes: dict[int, list[int]] = {}
                 for i in range(len(own)):
+                    seen = np.zeros(len(forest.sample), dtype=bool)
                     for leaf in forest.search(q[i], forest.cover):
+                        seen[forest.members[leaf]] = True
                         takes.setdefault(leaf, []).append(i)
-                cells = sorted(takes)
-                rows = [np.array(takes[c]) for c in cells]
-                nothing = [b""] * len(cells)
-                columns = [
-                    [*cells, -1], [*(own[r].tobytes() for r in rows), own.tobytes()], [*(x[low : low + 256][r].tobytes() for r in rows), b""], [*(bars[r].tobytes() for r in rows), b""],
-                    [*nothing, forest.sample_ids[best].tobytes()], [*nothing, scores.tobytes()],
-                ]
+                    rows = np.flatnonzero(seen)
+                    rows = rows[forest.sample_ids[rows] != own[i]]
+                    if len(rows) >= k:
+                        bars[i] = np.partition(forest.sample[rows] @ q[i], len(rows) - k)[len(rows) - k]
+                cells = [(leaf << PARTS | p, leaf) for leaf in sorted(takes) for p in range(int(forest.parts[leaf]))]
+                rows = [np.array(takes[leaf]) for _, leaf in cells]
+                columns = [[c for c, _ in cells], [own[r].tobytes() for r in rows], [y[r].tobytes() for r in rows], [bars[r].tobytes() for r in rows]]
                 yield pa.record_batch([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=names)
 
     return run
 
 
-def _unpack(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+def _unpack(column: pa.ChunkedArray, dtype: type | str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
-def _rerank(dim: int):
+def _rerank(dim: int, dtype: str):
     """Exact inner products of a leaf's classes with the queries that took it, as far as they reach the query's bar."""
 
     def run(posts: pa.Table, takes: pa.Table) -> pa.Table:
         q, c, s = [], [], []
         if posts.num_rows and takes.num_rows:
-            ids, x = _unpack(posts.column("ids"), np.int64), _unpack(posts.column("vecs"), np.float32).reshape(-1, dim).astype(np.float64)
-            queries, y, bars = _unpack(takes.column("ids"), np.int64), _unpack(takes.column("vecs"), np.float32).reshape(-1, dim), _unpack(takes.column("bars"), np.float64)
+            ids, x = _unpack(posts.column("ids"), np.int64), _unpack(posts.column("vecs"), dtype).reshape(-1, dim).astype(np.float64)
+            queries, y, bars = _unpack(takes.column("ids"), np.int64), _unpack(takes.column("vecs"), dtype).reshape(-1, dim), _unpack(takes.column("bars"), np.float64)
             for i in range(0, len(queries), 256):
                 part = y[i : i + 256].astype(np.float64)
-                for j in range(0, len(ids), 4096):
-                    score = part @ x[j : j + 4096].T
+                low = bars[i : i + 256, None]
+                for j in range(0, len(ids), CELL):
+                    score = part @ x[j : j + CELL].T
                     # the bar was added up in another order; what is below it by rounding only stays in
-                    a, b = np.nonzero(score >= bars[i : i + 256, None] - 1e-9)
+                    a, b = np.nonzero(score >= low - 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(low), low, 0))))
                     q.append(queries[i + a])
                     c.append(ids[j + b])
                     s.append(score[a, b])
@@ -215,20 +226,13 @@ def _rerank(dim: int):
     return run
 
 
-def _sample_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for own, best, scores in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            own, best, scores = np.frombuffer(own, np.int64), np.frombuffer(best, np.int64), np.frombuffer(scores, np.float64)
-            each = len(best) // max(1, len(own))
-            real = np.isfinite(scores)
-            yield pa.record_batch([pa.array(np.repeat(own, each)[real]), pa.array(best[real]), pa.array(scores[real])], names=["query", "candidate", "score"])
-
-
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, leaf: int = 256, sample: int = 16_384, recall: float = 0.96, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every vector whose id is divisible by ``every``."""
-    v = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<float>").alias("vec")).where(
+    narrow = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    dtype = "float32" if narrow else "float64"
+    v = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<float>" if narrow else "array<double>").alias("vec")).where(
         "id is not null and vec is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(vec, x -> x <> 0)"
     )
     common = v.groupBy(F.size("vec").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
@@ -243,24 +247,28 @@ def nearest(
     classes = members.where("nth = 1").select(F.col("id").alias("class"), "vec")
     n = classes.count()
     taken = classes.orderBy(F.xxhash64("class"), "class").limit(sample).collect()  # the documented bound
-    points = np.array([r["vec"] for r in taken], dtype=np.float32).astype(np.float64)
+    points = np.array([r["vec"] for r in taken], dtype=dtype).astype(np.float64)
     small = max(4, leaf * len(taken) // max(n, 1))
     forest = grow(points, np.array([r["class"] for r in taken], dtype=np.int64), trees, small, seed, k + 1, recall)
 
+    # a leaf's share of the sample tells its size
+    forest.parts = np.array([max(1, -(-len(m) * n // (max(1, len(taken)) * CELL))) for m in forest.members], dtype=np.int64)
+
     member_of = members.select("vec", "id").join(classes, "vec").select("class", F.col("id").alias("vec_id"))
     asking = v.where(F.col("id") % every == 0).join(classes, "vec").select(F.col("id").alias("query_id"), "class", "vec")
-    queries = asking.select("class", "vec").dropDuplicates(["class"])
-    posts = classes.mapInArrow(_post(forest), POST_SQL)
-    takes = stored(queries.mapInArrow(_search(forest, k + 1), TAKE_SQL), "ann-takes")
-    reranked = posts.groupBy("cell").cogroup(takes.where("cell >= 0").groupBy("cell")).applyInArrow(_rerank(dim), FOUND_SQL)
-    known = takes.where("cell < 0").select("ids", "best_ids", "best_scores").mapInArrow(_sample_answers, FOUND_SQL)
-    found = reranked.unionByName(known).groupBy("query", "candidate").agg(F.max("score").alias("score"))
-    own = asking.select(F.col("class").alias("query")).distinct().select("query", F.col("query").alias("candidate"))
+    queries = stored(asking.select("class", "vec").dropDuplicates(["class"]), "ann-queries")
+    tasks = max(8, -(-queries.count() // 256))
+    posts = classes.mapInArrow(_post(forest, dtype), POST_SQL)
+    takes = queries.repartition(tasks).mapInArrow(_search(forest, k + 1, dtype), TAKE_SQL)
+    found = posts.groupBy("cell").cogroup(takes.groupBy("cell")).applyInArrow(_rerank(dim, dtype), FOUND_SQL)
+    found = found.groupBy("query", "candidate").agg(F.max("score").alias("score")).where("query <> candidate")
     first = Window.partitionBy("query").orderBy(F.col("score").desc(), "candidate")
-    best = found.join(own, ["query", "candidate"], "left_anti").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("query", "candidate", "score")
+    best = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1 + SPARE).select("query", "candidate")
     # copies of the query itself are as near as its own product
-    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    best = best.unionByName(queries.select(F.col("class").alias("query"), F.col("class").alias("candidate"), square.alias("score")))
+    best = best.unionByName(queries.select(F.col("class").alias("query"), F.col("class").alias("candidate")))
+    product = F.expr("aggregate(zip_with(x, y, (a, b) -> cast(a as double) * cast(b as double)), 0D, (s, p) -> s + p)")
+    best = best.join(queries.select(F.col("class").alias("query"), F.col("vec").alias("x")), "query").join(classes.select(F.col("class").alias("candidate"), F.col("vec").alias("y")), "candidate")
+    best = best.select("query", "candidate", product.alias("score"))
     pairs = asking.select("query_id", F.col("class").alias("query")).join(best, "query").join(member_of, F.col("candidate") == F.col("class")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

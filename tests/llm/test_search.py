@@ -240,6 +240,21 @@ def test_nearest_neighbours(spark):
     assert hits / (20 * len(found)) >= 0.9
 
 
+def test_nearest_of_double_vectors_repeated_ids_and_clashing_names(spark):
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist(), i, "x") for i, v in enumerate(x)] + [(7, x[7].tolist(), 1, None)]
+    got = nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, cell bigint, class string"), sample=100, leaf=16, recall=1.0).collect()
+    for q in range(0, 300, 20):
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        s = np.append(x @ x[q], x[7] @ x[q])
+        ids = np.append(np.arange(300), 7)
+        s[q] = -np.inf
+        best = np.lexsort((ids, -s))[:20]
+        assert len(own) == 20 and all(v == pytest.approx(float(x[i] @ x[q]), rel=1e-12) for _, i, v in own)
+        assert len({i for _, i, _ in own} & set(ids[best].tolist())) >= 18
+
+
 def test_nearest_edges(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert nearest(spark.createDataFrame([], schema)).collect() == []
