@@ -1,12 +1,13 @@
-"""Elias-Fano sequences and an n-gram trie of two levels on them, laid out in one memory map.
+"""Elias-Fano sequences and n-gram tries on them, laid out in one memory map.
 
 A monotone sequence keeps its low bits packed and its high parts as a bit vector with
 a one for each value and a zero for each step of the high part. Counts of ones in 64-bit
 words give rank and select, vectorised over many queries at once.
 
-The trie: level one holds the contexts (sorted ids) and pointers to their runs in level
-two; level two holds each context's successors, relative to their context (place of the
-context times the span of ids, plus the successor), with a quantised probability each.
+The trie: the first level holds tokens (sorted ids). Every further level holds pointers from the places of the level before to
+their runs of successors, the successors, and a quantised probability each. A run is
+kept relative to where the run before it ended, which makes the level one monotone sequence; a successor is searched
+within its context's run, between two pointers, and nowhere else. The place of an n-gram is its number as a context of the next level.
 """
 
 from __future__ import annotations
@@ -92,8 +93,11 @@ class Sequence:
         high = _select(self.high, self.ones, i) - i
         return (high.astype(np.uint64) << np.uint64(self.width)) | _unpack(self.low, self.width, i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, or -1: the values with its high part lie between two zeros, in order of their low bits, and are searched by halves."""
+    def find(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value, or -1; with ``first`` and ``last``, only within [first, last).
+
+        The values with its high part lie between two zeros, in order of their low bits, and are searched by halves.
+        """
         out = np.full(len(values), -1, dtype=np.int64)
         values = values.astype(np.uint64)
         ok = np.flatnonzero(values < np.uint64(self.universe)) if self.n else np.zeros(0, np.int64)
@@ -101,16 +105,18 @@ class Sequence:
         low = values[ok] & ((ONE << np.uint64(self.width)) - ONE)
         begin = np.where(high > 0, _select(self.flipped, self.zeros, np.maximum(high - 1, 0)) - high + 1, 0)
         end = _select(self.flipped, self.zeros, high) - high
-        last = end
+        if first is not None:
+            begin, end = np.maximum(begin, first[ok]), np.minimum(end, last[ok])
+        stop = end
         while len(ok):
             live = begin < end
             done = ~live
             here = begin[done]
-            hit = here < last[done]
+            hit = here < stop[done]
             rows, here = ok[done][hit], here[hit]
             same = _unpack(self.low, self.width, here) == low[done][hit]
             out[rows[same]] = here[same]
-            ok, begin, end, low, last = ok[live], begin[live], end[live], low[live], last[live]
+            ok, begin, end, low, stop = ok[live], begin[live], end[live], low[live], stop[live]
             half = (begin + end) // 2
             below = _unpack(self.low, self.width, half) < low
             begin, end = np.where(below, half + 1, begin), np.where(below, end, half)
@@ -127,30 +133,37 @@ class Sequence:
 
 
 class Trie:
-    """Contexts, pointers, successors and codes, over one buffer of 64-bit words."""
+    """Tokens, and levels of pointers, successors and codes, over one buffer of 64-bit words. Levels below the tokens count from 0."""
 
     def __init__(self, data: np.ndarray) -> None:
-        self.span = int(data[0])
-        self.contexts, at = Sequence.load(data, 1)
-        self.pointers, at = Sequence.load(data, at)
-        self.successors, at = Sequence.load(data, at)
-        self.codes = data[at:].view(np.uint8)[: self.successors.n]
+        self.tokens, at = Sequence.load(data, 1)
+        self.pointers, self.successors, self.codes = [], [], []
+        for _ in range(int(data[0])):
+            pointers, at = Sequence.load(data, at)
+            successors, at = Sequence.load(data, at)
+            self.pointers.append(pointers)
+            self.successors.append(successors)
+            self.codes.append(data[at:].view(np.uint8)[: successors.n])
+            at += -(-successors.n // 8)
 
     @staticmethod
-    def levels(context: np.ndarray, successor: np.ndarray, code: np.ndarray, span: int) -> np.ndarray:
-        """The words of the trie of (context, successor) pairs, which must be sorted and distinct."""
-        heads = np.flatnonzero(np.diff(context.astype(np.int64), prepend=-1))
-        place = np.zeros(len(context), dtype=np.uint64)
-        place[heads[1:]] = 1
-        place = np.cumsum(place)
-        kinds = context[heads]
-        parts = [np.array([span], dtype=np.uint64)]
-        parts += Sequence.of(kinds, span).parts()
-        parts += Sequence.of(np.append(heads, len(context)), len(context) + 1).parts()
-        parts += Sequence.of(place * np.uint64(span) + successor.astype(np.uint64), max(1, len(kinds) * span)).parts()
-        tail = np.zeros(-(-len(code) // 8) * 8, dtype=np.uint8)
-        tail[: len(code)] = code
-        return np.concatenate([*parts, tail.view(np.uint64)])
+    def levels(tokens: np.ndarray, *below: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The words of a trie: sorted distinct tokens; for each further level the places of the contexts in the level before, the successors, sorted by both and distinct, and their codes."""
+        parts = [np.array([len(below)], dtype=np.uint64), *Sequence.of(tokens, int(tokens[-1]) + 1 if len(tokens) else 1).parts()]
+        n = len(tokens)
+        for context, successor, code in below:
+            pointers = np.searchsorted(context, np.arange(n + 1))
+            tops = np.zeros(n, dtype=np.uint64)  # the largest successor of each context
+            some = pointers[1:] > pointers[:-1]
+            tops[some] = successor[pointers[1:][some] - 1].astype(np.uint64)
+            ends = np.cumsum(tops, dtype=np.uint64)
+            values = (ends - tops)[context] + successor.astype(np.uint64)
+            parts += Sequence.of(pointers, len(context) + 1).parts() + Sequence.of(values, int(ends[-1]) + 1 if n else 1).parts()
+            tail = np.zeros(-(-len(code) // 8) * 8, dtype=np.uint8)
+            tail[: len(code)] = code
+            parts.append(tail.view(np.uint64))
+            n = len(context)
+        return np.concatenate(parts)
 
     @classmethod
     def mapped(cls, levels: np.ndarray) -> Trie:
@@ -164,25 +177,32 @@ class Trie:
         """The trie in a file that ``levels`` was written to with tofile()."""
         return cls(np.memmap(path, np.uint64, "r"))
 
-    def place(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The place of each pair in level two, which is its number as a context of a further level; -1 where it is missing."""
-        place = self.contexts.find(context)
+    def runs(self, level: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of successors [first, last) of contexts by their places in the level before."""
+        return tuple(self.pointers[level].get(context + i).astype(np.int64) for i in (0, 1))
+
+    def child(self, level: int, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """The place of each successor in the run of its context; -1 where either is missing."""
         out = np.full(len(context), -1, dtype=np.int64)
-        there = np.flatnonzero((place >= 0) & (successor < self.span))
-        out[there] = self.successors.find(place[there].astype(np.uint64) * np.uint64(self.span) + successor[there].astype(np.uint64))
+        there = np.flatnonzero(context >= 0)
+        first, last = self.runs(level, context[there])
+        some = first < last
+        there, first, last = there[some], first[some], last[some]
+        start = np.zeros(len(there), dtype=np.uint64)  # where the run before ended
+        start[first > 0] = self.successors[level].get(first[first > 0] - 1)
+        out[there] = self.successors[level].find(start + successor[there].astype(np.uint64), first, last)
         return out
 
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The code of each pair; 0 where the context or its successor is missing."""
-        at = self.place(context, successor)
-        out = np.zeros(len(context), dtype=np.uint8)
-        out[at >= 0] = self.codes[at[at >= 0]]
+    def code(self, level: int, place: np.ndarray) -> np.ndarray:
+        """Codes by place, 0 for place -1."""
+        out = np.zeros(len(place), dtype=np.uint8)
+        out[place >= 0] = self.codes[level][place[place >= 0]]
         return out
 
-    def fan_out(self, context: np.ndarray) -> np.ndarray:
-        """How many successors each context has."""
-        place = self.contexts.find(context)
+    def fan_out(self, level: int, context: np.ndarray) -> np.ndarray:
+        """How many successors each context has; 0 for place -1."""
         out = np.zeros(len(context), dtype=np.int64)
-        there = np.flatnonzero(place >= 0)
-        out[there] = (self.pointers.get(place[there] + 1) - self.pointers.get(place[there])).astype(np.int64)
+        there = np.flatnonzero(context >= 0)
+        first, last = self.runs(level, context[there])
+        out[there] = last - first
         return out

@@ -5,7 +5,8 @@ every block of documents sends its sorted distinct keys to the shards that own
 them, a shard answers each block about just the keys that it sent, and blocks
 combine the answers. A key held by any number of documents costs a shard at
 most one entry a block, which is the pre-aggregation that defuses hot keys.
-Messages are rows (dst, src, kind, data); dst and src number blocks or shards.
+Messages are rows (dst, src, kind, data); dst and src number blocks or shards, and data is compressed. A message
+without keys isn't sent. There are fewer shards than blocks, as many as the load of keys needs.
 
 The documents are dealt to blocks by one exchange on their id, which later
 passes reuse. Losing an executor recomputes blocks from the same rows: inside a
@@ -26,12 +27,14 @@ from fragspark.llm import text as T
 MESSAGE = pa.schema([("dst", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 MESSAGE_SQL = "dst int, src int, kind int, data binary"
 NO_MESSAGES = MESSAGE.empty_table()
+CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     if not rows:
         return NO_MESSAGES
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), MESSAGE.types)], schema=MESSAGE)
+    columns = [*list(zip(*rows))[:3], [len(d).to_bytes(8, "little") + CODEC.compress(d, asbytes=True) for *_, d in rows]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, MESSAGE.types)], schema=MESSAGE)
 
 
 def read(table: pa.Table) -> Iterator[tuple[int, int, int, bytes]]:
@@ -40,7 +43,8 @@ def read(table: pa.Table) -> Iterator[tuple[int, int, int, bytes]]:
     order = sorted(range(table.num_rows), key=lambda i: (cols[2][i], cols[1][i]))
     data = table.column(3)
     for i in order:
-        yield cols[0][i], cols[1][i], cols[2][i], data[i].as_py()
+        body = data[i].as_py()
+        yield cols[0][i], cols[1][i], cols[2][i], CODEC.decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True)
 
 
 def block_count(docs: DataFrame, block_bytes: int, text_col: str = "text") -> tuple[int, int, int]:

@@ -1,26 +1,23 @@
-"""LM scoring with Elias-Fano n-gram tries of orders two and three, trained and queried in rounds over blocks and shards.
+"""LM scoring with Elias-Fano n-gram tries of three levels, trained and queried in rounds over blocks and shards.
 
 Round one counts tokens: blocks send their distinct tokens with training counts, shards
-add them up, number the tokens and answer. Round two counts bigrams: blocks send their
-distinct (context, token) pairs with training counts to the context's shard, which
-builds the trie of its contexts (elias_fano.py), with absolutely discounted
-probabilities quantised to a byte, and answers a block's pairs out of the trie. A frequent
-context is split by token over as many shards as it has shares of the corpus. Blocks
+add them up, number the tokens and answer. Round two counts bigrams and trigrams: blocks send their
+distinct bigrams with training counts to the shard of the first token, and with each bigram the tokens that follow it. The
+shard builds one trie (elias_fano.py) of tokens, bigrams and trigrams, with absolutely discounted
+probabilities quantised to a byte, and answers out of the trie: a block's bigrams are found once, and their places
+are the contexts in which the third tokens are searched. A frequent first token is split by the second over as many shards as
+it has shares of the corpus, and a frequent bigram by the third token, the further parts in tries of their own. Blocks
 then score their documents. No part of the model is held whole anywhere; what is
 gathered grows with the corpus, and the trie's shards are bounded by the share of keys they own.
 
-p(w | h) = (c(h, w) - D) / c(h) + D * T(h) / c(h) * p0(w), with T(h) the distinct successors
-of h, and p0(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), the base; an unseen context gives p0. ``score`` sums these.
-
-Trigrams go along in round two, to the shard of their two-token context; a context is split by
-token over as many shards as its rarer token has shares of the corpus. The shard builds two tries, one of the
-contexts' tokens and one of places of contexts in it and successors, and answers codes
-relative to its own part of the context, with that part's size and fan-out. ``trigram_score`` sums
-p(w | g, h) = (c(g, h, w) - D) / c(g, h) + D * T(g, h) / c(g, h) * p(w | h), with p(w | h) for
-a first token and for unseen contexts.
+p(w | v) = (c(v, w) - D) / c(v) + D * T(v) / c(v) * p0(w), with T(v) the distinct successors
+of v, and p0(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), the base; an unseen context gives p0.
+p(w | u, v) = (c(u, v, w) - D) / c(u, v) + D * T(u, v) / c(u, v) * p(w | v), with p(w | v) for
+a first token and for unseen contexts. ``score`` sums the logarithms of the latter, ``bigram_score`` of the former.
 
 Null or empty text: the end token alone. A null id is in training. Rows that repeat count
-as often as they occur. Other columns are ignored. Up to 2**32 distinct tokens.
+as often as they occur. Other columns are ignored. There may be any number of distinct tokens: blocks and shards
+number what they hold for themselves.
 """
 
 from __future__ import annotations
@@ -39,16 +36,22 @@ from fragspark.llm.op6_jaccard_join import LOWER
 END = np.uint64(0x3C79AC492BA7B653)
 START = np.uint64(0x1C69B3F74AC4AE35)
 DISCOUNT = 0.75
-SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, trigram_score double"
+SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bigram_score double"
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """uint32 values byte by byte, the rare high bytes together, for the shuffle's compression."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Whole numbers byte by byte, as many bytes as the largest takes, like bytes together for the compression."""
+    values = np.asarray(values).astype("<u8")
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([width]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _values(data: bytes, n: int, at: int = 0) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+def _values(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 def _with_length(parts: list[bytes]) -> bytes:
@@ -79,73 +82,57 @@ class _Block:
         """Takes the answers of round one: totals, counts and numbers of this block's tokens."""
         n_docs, n, kinds, sizes, rows = 0, 0, 0, np.zeros(shards, np.int64), []
         for _, s, _, data in answers:
-            head = np.frombuffer(data, np.int64, 4)
+            head, *body = _parts(data, 3)
+            head = np.frombuffer(head, np.int64)
             n, kinds, n_docs, sizes[s] = n + int(head[0]), kinds + int(head[1]), n_docs + int(head[2]), head[3]
-            rows.append((s, data[32:]))
+            rows.append((s, body))
         bases = np.cumsum(sizes) - sizes
         cuts = X.shard_bounds(self.keys, 64, shards)
-        self.count, self.ident = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
-        for s, data in rows:
-            m = cuts[s + 1] - cuts[s]
-            self.count[cuts[s] : cuts[s + 1]] = _values(data, m)
-            self.ident[cuts[s] : cuts[s + 1]] = bases[s] + _values(data, m, 4 * m)
-        self.n, self.kinds, self.span = n, kinds, int(sizes.sum()) + 1
-        if self.span >= 2**32:
-            raise ValueError("more than 2**32 distinct tokens")
+        k = len(self.keys)
         # one more number for the start of a document, a context as often as there are documents in training
-        begin = self.first[:-1]
-        token, context = self.ident[self.number], np.empty(len(self.number), np.int64)
-        context[1:], seen = token[:-1], np.empty(len(self.number), np.int64)
-        seen[1:] = self.count[self.number[:-1]]
-        context[begin], seen[begin] = self.span - 1, n_docs
-        pair = context.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)
-        self.pairs, at, self.pair = np.unique(pair, return_index=True, return_inverse=True)
+        self.count, self.ident = np.zeros(k + 1, np.int64), np.zeros(k + 1, np.int64)
+        for s, (counts, places) in rows:
+            self.count[cuts[s] : cuts[s + 1]] = _values(counts)
+            self.ident[cuts[s] : cuts[s + 1]] = bases[s] + _values(places)
+        self.n, self.kinds, self.span = n, kinds, int(sizes.sum()) + 1
+        self.count[k], self.ident[k] = n_docs, self.span - 1
+        begin, wide = self.first[:-1], np.int64(k + 1)
+        context = np.empty(len(self.number), np.int64)
+        context[1:] = self.number[:-1]
+        context[begin] = k
+        pairs, self.pair = np.unique(context * wide + self.number, return_inverse=True)
+        del context
         self.pair = self.pair.astype(np.int32)
-        self.pair_counts = np.bincount(self.pair, self.train, len(self.pairs)).astype(np.int64)
-        del pair, context
-        self.seen = seen[at]  # the context's count, by pair
-        self.last = self.count[self.number[at]]  # the count of the second token
-        del seen, at
-        ctx = self.pairs >> np.uint64(32)
-        ways = 1 + self.seen * shards // max(n, 1)
-        home = T.mix(ctx, 11) % np.uint64(shards)
-        self.home = ((home + T.mix(self.pairs, 12) % ways.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        self.contexts, where, self.context = np.unique(ctx, return_index=True, return_inverse=True)
-        self.context_seen, self.context_ways = self.seen[where], ways[where]
-        self.context_home = home[where].astype(np.int64)
-        del ctx, ways, home, where
+        self.pair_counts = np.bincount(self.pair, self.train, len(pairs)).astype(np.int64)
+        self.context_of, self.last = (pairs // wide).astype(np.int32), (pairs % wide).astype(np.int32)
+        del pairs
+        seen = self.count[self.context_of]
+        ways = np.minimum(1 + seen * shards // max(n, 1), shards)
+        home = T.mix(self.ident[self.context_of].astype(np.uint64), 11) % np.uint64(shards)
+        way = T.mix(self.ident[self.last].astype(np.uint64), 12) % ways.astype(np.uint64)
+        self.home = ((home + way) % np.uint64(shards)).astype(np.int32)
+        where = np.flatnonzero(np.diff(self.context_of, prepend=-1))
+        self.contexts, self.context = self.context_of[where], np.cumsum(np.diff(self.context_of, prepend=-1) != 0) - 1
+        self.context_ways, self.context_home = ways[where], home[where].astype(np.int64)
+        self.pair_ways = np.minimum(1 + np.minimum(seen, self.count[self.last]) * shards // max(n, 1), shards)
+        del seen, ways, home, way, where
         # a trigram is a pair, its context, and the token after it
-        later = np.ones(len(token), dtype=bool)
+        later = np.ones(len(self.number), dtype=bool)
         later[begin] = False
         self.later = np.flatnonzero(later).astype(np.int32)
-        keys = self.pair[self.later - 1].astype(np.uint64) << np.uint64(32) | token[self.later].astype(np.uint64)
-        del token, later
-        self.trigrams, self.trigram = np.unique(keys, return_inverse=True)
-        del keys
+        del later
+        trigrams, self.trigram = np.unique(self.pair[self.later - 1] * wide + self.number[self.later], return_inverse=True)
         self.trigram = self.trigram.astype(np.int32)
-        self.trigram_counts = np.bincount(self.trigram, self.train[self.later], len(self.trigrams)).astype(np.int64)
-        self.trigram_pair = (self.trigrams >> np.uint64(32)).astype(np.int32)
-        self.pair_ways = 1 + np.minimum(self.seen, self.last) * shards // max(n, 1)
-        self.pair_home = (T.mix(self.pairs, 13) % np.uint64(shards)).astype(np.int64)
-        way = T.mix(self.trigrams & np.uint64(0xFFFFFFFF), 14) % self.pair_ways[self.trigram_pair].astype(np.uint64)
-        self.trigram_home = ((self.pair_home[self.trigram_pair] + way.astype(np.int64)) % shards).astype(np.int32)
-
-    def dealt_trigrams(self, shards: int):
-        """For each shard: the numbers of the pairs that it must tell about as contexts, the numbers of the trigrams that it owns, and the place of each one's context."""
-        by = np.argsort(self.trigram_home, kind="stable")
-        cuts = np.searchsorted(self.trigram_home[by], np.arange(shards + 1))
-        used = np.unique(self.trigram_pair)
-        ways = np.minimum(self.pair_ways[used], shards)
-        rows = np.repeat(used, ways)
-        home = (self.pair_home[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(ways) - ways, ways)) % shards
-        order = np.lexsort((rows, home))
-        edges = np.searchsorted(home[order], np.arange(shards + 1))
-        for s in range(shards):
-            pairs, own = rows[order[edges[s] : edges[s + 1]]], by[cuts[s] : cuts[s + 1]]
-            yield s, pairs, own, np.searchsorted(pairs, self.trigram_pair[own])
+        self.trigram_counts = np.bincount(self.trigram, self.train[self.later], len(trigrams)).astype(np.int64)
+        self.trigram_pair, self.third = (trigrams // wide).astype(np.int32), (trigrams % wide).astype(np.int32)
+        del trigrams
+        ways = self.pair_ways[self.trigram_pair]
+        self.way = np.zeros(len(ways), np.int64)
+        some = np.flatnonzero(ways > 1)
+        self.way[some] = (T.mix(self.ident[self.third[some]].astype(np.uint64), 14) % ways[some].astype(np.uint64)).astype(np.int64)
 
     def dealt(self, shards: int):
-        """For each shard: the numbers of the contexts that it must tell about, and of the pairs that it owns, both sorted."""
+        """For each shard that this block has keys for: the numbers of the contexts that it must tell about, of the pairs that it owns, and of their trigrams, all sorted."""
         by = np.argsort(self.home, kind="stable")
         cuts = np.searchsorted(self.home[by], np.arange(shards + 1))
         rows = np.repeat(np.arange(len(self.contexts)), self.context_ways)
@@ -153,8 +140,29 @@ class _Block:
         home = (self.context_home[rows] + way) % shards
         order = np.lexsort((rows, home))
         edges = np.searchsorted(home[order], np.arange(shards + 1))
-        for s in range(shards):
-            yield s, np.unique(rows[order[edges[s] : edges[s + 1]]]), by[cuts[s] : cuts[s + 1]]
+        near = np.flatnonzero(self.way == 0)
+        at = self.home[self.trigram_pair[near]]
+        near, at = near[np.argsort(at, kind="stable")], np.sort(at)
+        tops = np.searchsorted(at, np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            yield s, rows[order[edges[s] : edges[s + 1]]], by[cuts[s] : cuts[s + 1]], near[tops[s] : tops[s + 1]]
+
+    def dealt_further(self, shards: int):
+        """The same for the further parts of frequent pairs: the numbers of the pairs to tell about, of the trigrams, and the place of each one's pair."""
+        pairs = np.flatnonzero(self.pair_ways > 1)
+        pairs = pairs[np.isin(pairs, self.trigram_pair)]
+        ways = self.pair_ways[pairs] - 1
+        rows = np.repeat(pairs, ways)
+        home = (self.home[rows] + 1 + np.arange(len(rows)) - np.repeat(np.cumsum(ways) - ways, ways)) % shards
+        order = np.lexsort((rows, home))
+        edges = np.searchsorted(home[order], np.arange(shards + 1))
+        far = np.flatnonzero(self.way > 0)
+        at = (self.home[self.trigram_pair[far]] + self.way[far]) % shards
+        far, at = far[np.argsort(at, kind="stable")], np.sort(at)
+        tops = np.searchsorted(at, np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            told, own = rows[order[edges[s] : edges[s + 1]]], far[tops[s] : tops[s + 1]]
+            yield s, told, own, np.searchsorted(told, self.trigram_pair[own])
 
 
 def _count(shards: int):
@@ -165,8 +173,8 @@ def _count(shards: int):
         out = []
         for s in range(shards):
             p = slice(cuts[s], cuts[s + 1])
-            # the training documents are told to one shard
-            out.append((s, src, 0, (docs if s == src % shards else np.int64(0)).tobytes() + _with_length([T.pack_sorted(block.keys[p]), _planes(block.counts[p])])))
+            # the training documents are told to one shard; every shard tells its totals to every block
+            out.append((s, src, 0, _with_length([(docs if s == src % shards else np.int64(0)).tobytes(), T.pack_sorted(block.keys[p]), _planes(block.counts[p])])))
         return X.messages(out)
 
     return run
@@ -178,17 +186,16 @@ def _total(shards: int):
         rows = []
         docs = 0
         for _, src, _, data in sent:
-            docs += int(np.frombuffer(data, np.int64, 1)[0])
-            packed, planes = _parts(data[8:], 2)
-            keys = T.unpack_sorted(packed)
-            rows.append((src, keys, _values(planes, len(keys))))
+            head, packed, planes = _parts(data, 3)
+            docs += int(np.frombuffer(head, np.int64)[0])
+            rows.append((src, T.unpack_sorted(packed), _values(planes)))
         keys, number = np.unique(np.concatenate([k for _, k, _ in rows]), return_inverse=True)
         counts = np.bincount(number, np.concatenate([c for _, _, c in rows]), len(keys)).astype(np.int64)
         head = np.array([counts.sum(), (counts > 0).sum(), docs, len(keys)], dtype=np.int64).tobytes()
         out = []
         for src, own, _ in rows:
             at = np.searchsorted(keys, own)
-            out.append((src, sent[0][0], 0, head + _planes(counts[at]) + _planes(at)))
+            out.append((src, sent[0][0], 0, _with_length([head, _planes(counts[at]), _planes(at)])))
         return X.messages(out)
 
     return run
@@ -203,15 +210,18 @@ def _pairs(shards: int):
         block.learnt(told, shards)
         del block.pair, block.trigram, block.number, block.later, block.doc  # only scoring needs them
         # what round one said goes on to the last pass by way of a shard
-        out = [(s, src, 9, data) for _, s, _, data in told]
-        for s, contexts, pairs in block.dealt(shards):
-            if len(contexts):
-                body = [T.pack_sorted(block.contexts[contexts]), _planes(block.context_seen[contexts]), T.pack_sorted(block.pairs[pairs]), _planes(block.pair_counts[pairs])]
-                out.append((s, src, 1, np.int64(block.span).tobytes() + _with_length(body)))
-        for s, pairs, own, place in block.dealt_trigrams(shards):
-            if len(pairs):
-                body = [T.pack_sorted(block.pairs[pairs]), _planes(np.bincount(place, minlength=len(pairs))), _planes(block.trigrams[own] & np.uint64(0xFFFFFFFF)), _planes(block.trigram_counts[own])]
-                out.append((s, src, 2, np.int64(block.span).tobytes() + _with_length(body)))
+        out = [(src % shards, src, 9, _with_length([np.int64(s).tobytes(), data])) for _, s, _, data in told]
+        for s, contexts, pairs, own in block.dealt(shards):
+            kinds = block.contexts[contexts]
+            body = [
+                T.pack_sorted(block.ident[kinds].astype(np.uint64)), _planes(block.count[kinds]), _planes(np.bincount(np.searchsorted(contexts, block.context[pairs]), minlength=len(kinds))),
+                _planes(block.ident[block.last[pairs]]), _planes(block.pair_counts[pairs]), _planes(np.bincount(np.searchsorted(pairs, block.trigram_pair[own]), minlength=len(pairs))),
+                _planes(block.ident[block.third[own]]), _planes(block.trigram_counts[own]), _planes(np.flatnonzero(block.pair_ways[pairs] > 1)),
+            ]
+            out.append((s, src, 1, _with_length([np.int64(block.span).tobytes(), *body])))
+        for s, pairs, own, place in block.dealt_further(shards):
+            body = [_planes(block.ident[block.context_of[pairs]]), _planes(block.ident[block.last[pairs]]), _planes(np.bincount(place, minlength=len(pairs))), _planes(block.ident[block.third[own]]), _planes(block.trigram_counts[own])]
+            out.append((s, src, 2, _with_length([np.int64(block.span).tobytes(), *body])))
         return X.messages(out)
 
     return run
@@ -220,59 +230,87 @@ def _pairs(shards: int):
 def _answer(table: pa.Table) -> pa.Table:
     """Builds the shard's tries and answers from them."""
     kinds = table.column("kind")
-    sent = {k: list(X.read(table.filter(pa.compute.equal(kinds, k)))) for k in (9, 1)}
-    out = [(src, dst, kind, data) for dst, src, kind, data in sent.pop(9)] + _pair_answers(sent.pop(1))
-    return X.messages(out + _trigram_answers(list(X.read(table.filter(pa.compute.equal(kinds, 2))))))
-
-
-def _pair_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
-    """Codes of pairs, fan-outs of contexts."""
-    out, rows, span = [], [], 1
-    for _, src, _, data in sent:
-        span = int(np.frombuffer(data, np.int64, 1)[0])
-        contexts, seen, pairs, counts = _parts(data[8:], 4)
-        contexts, pairs = T.unpack_sorted(contexts), T.unpack_sorted(pairs)
-        rows.append((src, contexts, _values(seen, len(contexts)), pairs, _values(counts, len(pairs))))
-    if rows:
-        keys, number = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
-        counts = np.bincount(number, np.concatenate([r[4] for r in rows]), len(keys)).astype(np.int64)
-        all_contexts, at = np.unique(np.concatenate([r[1] for r in rows]), return_index=True)
-        all_seen = np.concatenate([r[2] for r in rows])[at]
-        keys, counts = keys[counts > 0], counts[counts > 0]
-        context, successor = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        seen = all_seen[np.searchsorted(all_contexts, context)]
-        trie = Trie.mapped(Trie.levels(context, successor, quantise((counts - DISCOUNT) / np.maximum(seen, 1)), span))
-        for src, contexts, _, pairs, _ in rows:
-            codes = trie.find(pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF))
-            out.append((src, sent[0][0], 1, _with_length([codes.tobytes(), _planes(trie.fan_out(contexts))])))
+    sent = {k: list(X.read(table.filter(pa.compute.equal(kinds, k)))) for k in (9, 1, 2)}
+    out = [(src, dst, kind, data) for dst, src, kind, data in sent.pop(9)]
+    return X.messages(out + _near_answers(sent.pop(1)) + _far_answers(sent.pop(2)))
+
+
+def _numbered(groups: list[list[np.ndarray]], span: int, contexts: int) -> tuple[list[list[np.ndarray]], int]:
+    """Arrays of token numbers below ``span``; where contexts times tokens would pass 63 bits, numbered anew among themselves."""
+    if contexts * span < 1 << 63:
+        return groups, span
+    names = np.unique(np.concatenate([a for g in groups for a in g]))
+    return [[np.searchsorted(names, a) for a in g] for g in groups], len(names)
+
+
+def _summed(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys with a positive sum of counts, and the sums."""
+    key, counts = key[counts > 0], counts[counts > 0]
+    keys, number = np.unique(key, return_inverse=True)
+    return keys, np.bincount(number, counts, len(keys)).astype(np.int64)
+
+
+def _near_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
+    """Codes of pairs and trigrams, fan-outs of contexts, back-off codes of pairs; of frequent pairs the fan-out and size of this part."""
+    if not sent:
+        return []
+    rows, span = [], 1
+    for *_, data in sent:
+        head, packed, *planes = _parts(data, 10)
+        span = int(np.frombuffer(head, np.int64)[0])
+        rows.append([T.unpack_sorted(packed), *(_values(p) for p in planes)])
+    contexts, at = np.unique(np.concatenate([r[0] for r in rows]), return_index=True)
+    seen = np.concatenate([r[1] for r in rows])[at]
+    most = max(len(contexts), sum(len(r[3]) for r in rows)) + 1
+    (lasts, thirds), span = _numbered([[r[3] for r in rows], [r[6] for r in rows]], span, most)
+    firsts = [np.repeat(np.searchsorted(contexts, r[0]), r[2]) for r in rows]
+    pairs, counts = _summed(np.concatenate([f * span + last for f, last in zip(firsts, lasts)]), np.concatenate([r[4] for r in rows]))
+    context = pairs // span
+    second = (context, pairs % span, quantise((counts - DISCOUNT) / np.maximum(seen[context], 1)))
+    # a trigram of training has its pair in training
+    places = [np.repeat(np.minimum(np.searchsorted(pairs, f * span + last), max(0, len(pairs) - 1)), r[5]) for f, last, r in zip(firsts, lasts, rows)]
+    found, counts = _summed(np.concatenate([p * span + w for p, w in zip(places, thirds)]), np.concatenate([r[7] for r in rows]))
+    del places
+    context = found // span
+    sizes = np.append(np.bincount(context, counts, len(pairs)).astype(np.int64), 0)  # the last one for pairs out of training
+    trie = Trie.mapped(Trie.levels(contexts, second, (context, found % span, quantise((counts - DISCOUNT) / sizes[context]))))
+    del second, found, counts, context, pairs
+    out = []
+    for (dst, src, *_), r, last, third in zip(sent, rows, lasts, thirds):
+        root = trie.tokens.find(r[0])
+        pair = trie.child(0, np.repeat(root, r[2]), last)
+        used = np.flatnonzero(r[5])
+        code = trie.code(1, trie.child(1, np.repeat(pair[used], r[5][used]), third))
+        back = quantise(DISCOUNT * trie.fan_out(1, pair[used]) / np.maximum(sizes[pair[used]], 1))
+        body = [trie.code(0, pair).tobytes(), _planes(trie.fan_out(0, root)), code.tobytes(), back.tobytes(), _planes(trie.fan_out(1, pair[r[8]])), _planes(sizes[pair[r[8]]])]
+        out.append((src, dst, 1, _with_length(body)))
     return out
 
 
-def _trigram_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
-    """Codes of trigrams, and fan-outs and sizes of the shard's parts of their contexts."""
-    rows, span, low = [], 1, np.uint64(0xFFFFFFFF)
-    for _, src, _, data in sent:
-        span = int(np.frombuffer(data, np.int64, 1)[0])
-        pairs, many, tokens, counts = _parts(data[8:], 4)
-        pairs = T.unpack_sorted(pairs)
-        rows.append((src, pairs, _values(many, len(pairs)), _values(tokens, len(tokens) // 4), _values(counts, len(counts) // 4)))
-    if not rows:
+def _far_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
+    """Codes of trigrams of frequent pairs, and fan-outs and sizes of the shard's parts of the pairs."""
+    if not sent:
         return []
-    # the contexts of trigrams in training, by number
-    keys = np.unique(np.concatenate([np.repeat(p, m)[c > 0] for _, p, m, _, c in rows]))
-    middle = Trie.mapped(Trie.levels(keys >> np.uint64(32), keys & low, np.zeros(len(keys), np.uint8), span))
-    places = [middle.place(p >> np.uint64(32), p & low) for _, p, *_ in rows]
-    all_places = np.concatenate([np.repeat(at, m)[c > 0] for at, (_, _, m, _, c) in zip(places, rows)])
-    all_tokens = np.concatenate([t[c > 0] for *_, t, c in rows])
-    found, number = np.unique(all_places.astype(np.uint64) << np.uint64(32) | all_tokens.astype(np.uint64), return_inverse=True)
-    counts = np.bincount(number, np.concatenate([c[c > 0] for *_, c in rows]), len(found)).astype(np.int64)
-    context = (found >> np.uint64(32)).astype(np.int64)
-    sizes = np.append(np.bincount(context, counts, len(keys)).astype(np.int64), 0)  # the last one for contexts out of training
-    trie = Trie.mapped(Trie.levels(found >> np.uint64(32), found & low, quantise((counts - DISCOUNT) / sizes[context]), max(span, len(keys) + 1)))
+    rows, span = [], 1
+    for *_, data in sent:
+        head, *planes = _parts(data, 6)
+        span = int(np.frombuffer(head, np.int64)[0])
+        rows.append([_values(p) for p in planes])
+    contexts = np.unique(np.concatenate([r[0] for r in rows]))
+    (lasts, thirds), span = _numbered([[r[1] for r in rows], [r[3] for r in rows]], span, sum(len(r[0]) for r in rows) + 1)
+    firsts = [np.searchsorted(contexts, r[0]) for r in rows]
+    pairs = np.unique(np.concatenate([f * span + last for f, last in zip(firsts, lasts)]))
+    places = [np.searchsorted(pairs, f * span + last) for f, last in zip(firsts, lasts)]
+    found, counts = _summed(np.concatenate([np.repeat(p, r[2]) * span + w for p, r, w in zip(places, rows, thirds)]), np.concatenate([r[4] for r in rows]))
+    context = found // span
+    sizes = np.bincount(context, counts, len(pairs)).astype(np.int64)
+    none = np.zeros(len(pairs), np.uint8)
+    trie = Trie.mapped(Trie.levels(contexts.astype(np.uint64), (pairs // span, pairs % span, none), (context, found % span, quantise((counts - DISCOUNT) / sizes[context]))))
     out = []
-    for at, (src, _, many, tokens, _) in zip(places, rows):
-        codes = trie.find(np.repeat(at, many).astype(np.uint64), tokens.astype(np.uint64))
-        out.append((src, sent[0][0], 2, _with_length([codes.tobytes(), _planes(trie.fan_out(at)), _planes(sizes[at])])))
+    for (dst, src, *_), r, last, third in zip(sent, rows, lasts, thirds):
+        pair = trie.child(0, trie.tokens.find(r[0].astype(np.uint64)), last)
+        code = trie.code(1, trie.child(1, np.repeat(pair, r[2]), third))
+        out.append((src, dst, 2, _with_length([code.tobytes(), _planes(trie.fan_out(1, pair)), _planes(sizes[pair])])))
     return out
 
 
@@ -283,39 +321,49 @@ def _score(shards: int):
         if not table.num_rows:
             return pa.schema(list(zip(names, types))).empty_table()
         block, told = _Block(table), list(X.read(answers))
-        block.learnt([m for m in told if m[2] == 9], shards)
-        codes, fan = np.zeros(len(block.pairs), np.uint8), np.zeros(len(block.contexts), np.int64)
+        first = [_parts(data, 2) for *_, kind, data in told if kind == 9]
+        block.learnt([(0, int(np.frombuffer(s, np.int64)[0]), 0, data) for s, data in first], shards)
+        codes, fan = np.zeros(len(block.last), np.uint8), np.zeros(len(block.contexts), np.int64)
+        share, back = np.zeros(len(block.third)), np.ones(len(block.last))
+        split = block.pair_ways > 1
+        fans, sizes = np.zeros(len(block.last), np.int64), np.zeros(len(block.last), np.int64)
         found = {s: data for _, s, kind, data in told if kind == 1}
-        for s, contexts, pairs in block.dealt(shards):
-            if s in found:
-                own, fans = _parts(found[s], 2)
-                codes[pairs] = np.frombuffer(own, np.uint8)
-                fan[contexts] += _values(fans, len(contexts))
-        base = (block.count + 0.1) / (block.n + 0.1 * (block.kinds + 1))
+        for s, contexts, pairs, own in block.dealt(shards):
+            own_codes, own_fans, third, lower, split_fans, split_sizes = _parts(found[s], 6)
+            codes[pairs] = np.frombuffer(own_codes, np.uint8)
+            fan[contexts] += _values(own_fans)
+            share[own] = DECODED[np.frombuffer(third, np.uint8)]
+            used = np.unique(block.trigram_pair[own])
+            lower = np.frombuffer(lower, np.uint8)
+            back[used] = np.where(lower > 0, DECODED[lower], 1.0)
+            fans[pairs[split[pairs]]], sizes[pairs[split[pairs]]] = _values(split_fans), _values(split_sizes)
+        part = sizes[block.trigram_pair]
+        found = {s: data for _, s, kind, data in told if kind == 2}
+        for s, pairs, own, place in block.dealt_further(shards):
+            third, own_fans, own_sizes = _parts(found[s], 3)
+            own_sizes = _values(own_sizes)
+            share[own], part[own] = DECODED[np.frombuffer(third, np.uint8)], own_sizes[place]
+            fans[pairs] += _values(own_fans)
+            sizes[pairs] += own_sizes
+        # of frequent pairs, each part's shares are of its own size
+        parted = split[block.trigram_pair]
+        share[parted] *= part[parted] / np.maximum(sizes[block.trigram_pair[parted]], 1)
+        whole = split & (sizes > 0)
+        back[whole] = DECODED[quantise(DISCOUNT * fans[whole] / sizes[whole])]
+        back[split & (sizes == 0)] = 1.0
+        base = (block.count[:-1] + 0.1) / (block.n + 0.1 * (block.kinds + 1))
         p0 = base[block.number]
         # the back-off weight is quantised like the probabilities
-        seen = block.context_seen
-        back = np.where(seen > 0, DECODED[quantise(DISCOUNT * fan / np.maximum(seen, 1))], 1.0)
-        p = DECODED[codes][block.pair] + back[block.context[block.pair]] * p0
-        after = np.minimum(p, 1.0)
-        share, fan, size = np.zeros(len(block.trigrams)), np.zeros(len(block.pairs), np.int64), np.zeros(len(block.pairs), np.int64)
-        found = {s: data for _, s, kind, data in told if kind == 2}
-        for s, pairs, own, place in block.dealt_trigrams(shards):
-            if s in found:
-                codes, fans, sizes = _parts(found[s], 3)
-                sizes = _values(sizes, len(pairs))
-                share[own] = DECODED[np.frombuffer(codes, np.uint8)] * sizes[place]
-                fan[pairs] += _values(fans, len(pairs))
-                size[pairs] += sizes
-        back = np.where(size > 0, DECODED[quantise(DISCOUNT * fan / np.maximum(size, 1))], 1.0)
-        share /= np.maximum(size[block.trigram_pair], 1)
+        seen = block.count[block.contexts]
+        lower = np.where(seen > 0, DECODED[quantise(DISCOUNT * fan / np.maximum(seen, 1))], 1.0)
+        after = np.minimum(DECODED[codes][block.pair] + lower[block.context[block.pair]] * p0, 1.0)
         third = after.copy()
         third[block.later] = np.minimum(share[block.trigram] + back[block.pair[block.later - 1]] * after[block.later], 1.0)
         n = len(block.ids)
         known = np.bincount(block.doc, block.count[block.number] > 0, n).astype(np.int64)
         columns = [
             block.table.column("id"), block.held, np.diff(block.first), known, np.full(n, block.n),
-            np.bincount(block.doc, np.log10(p0), n), np.bincount(block.doc, np.log10(after), n), np.bincount(block.doc, np.log10(third), n),
+            np.bincount(block.doc, np.log10(p0), n), np.bincount(block.doc, np.log10(third), n), np.bincount(block.doc, np.log10(after), n),
         ]
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
@@ -323,9 +371,10 @@ def _score(shards: int):
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, trigram_score) for every row."""
-    shards, _, _ = X.block_count(docs, block_bytes, text_col)
-    blocks = X.to_blocks(docs, shards, id_col, text_col)
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bigram_score) for every row."""
+    count, _, _ = X.block_count(docs, block_bytes, text_col)
+    shards = max(8, -(-count // 2))
+    blocks = X.to_blocks(docs, count, id_col, text_col)
     counted = X.by_block(blocks, _count(shards), X.MESSAGE_SQL)
     totals = X.by_shard(counted, _total(shards))
     pairs = X.with_answers(blocks, totals, _pairs(shards), X.MESSAGE_SQL)

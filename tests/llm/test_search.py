@@ -148,15 +148,22 @@ def test_elias_fano_and_trie(tmp_path):
         probe = np.concatenate([values, rng.integers(0, universe + 5, 200)])
         at = s.find(probe.astype(np.uint64))
         assert ((at >= 0) == np.isin(probe, values)).all() and (values[at[at >= 0]] == probe[at >= 0]).all()
-    pairs = np.unique(np.column_stack([rng.integers(0, 50, 900), rng.integers(0, 500, 900)]), axis=0)
-    codes = rng.integers(1, 255, len(pairs)).astype(np.uint8)
-    levels = Trie.levels(pairs[:, 0].astype(np.uint64), pairs[:, 1].astype(np.uint64), codes, 501)
+    grams = np.unique(np.column_stack([rng.integers(0, 50, 900), rng.integers(0, 500, 900), rng.integers(0, 9, 900)]), axis=0)
+    pairs, third = np.unique(grams[:, :2], axis=0, return_inverse=True)
+    tokens = np.unique(pairs[:, 0])
+    codes = [rng.integers(1, 255, n).astype(np.uint8) for n in (len(pairs), len(grams))]
+    levels = Trie.levels(tokens.astype(np.uint64), (np.searchsorted(tokens, pairs[:, 0]), pairs[:, 1], codes[0]), (third.ravel(), grams[:, 2], codes[1]))
     levels.tofile(tmp_path / "trie")
-    known = {tuple(p): c for p, c in zip(pairs.tolist(), codes.tolist())}
+    known = [{tuple(g): c for g, c in zip(x.tolist(), own.tolist())} for x, own in zip((pairs, grams), codes)]
     for trie in (Trie.mapped(levels), Trie.open(tmp_path / "trie")):
-        a, b = rng.integers(0, 60, 2000), rng.integers(0, 500, 2000)
-        assert trie.find(a.astype(np.uint64), b.astype(np.uint64)).tolist() == [known.get(p, 0) for p in zip(a.tolist(), b.tolist())]
-        assert trie.fan_out(np.arange(60).astype(np.uint64)).tolist() == [int((pairs[:, 0] == c).sum()) for c in range(60)]
+        a, b, c = rng.integers(0, 60, 3000), rng.integers(0, 500, 3000), rng.integers(0, 9, 3000)
+        a[:900], b[:900], c[:900] = (grams[rng.integers(0, len(grams), 900), i] for i in range(3))
+        root = trie.tokens.find(a.astype(np.uint64))
+        pair = trie.child(0, root, b)
+        assert trie.code(0, pair).tolist() == [known[0].get(p, 0) for p in zip(a.tolist(), b.tolist())]
+        assert trie.code(1, trie.child(1, pair, c)).tolist() == [known[1].get(p, 0) for p in zip(a.tolist(), b.tolist(), c.tolist())]
+        assert trie.fan_out(0, trie.tokens.find(np.arange(60).astype(np.uint64))).tolist() == [int((pairs[:, 0] == x).sum()) for x in range(60)]
+        assert trie.fan_out(1, np.arange(len(pairs))).tolist() == np.bincount(third.ravel()).tolist()
     p = 10.0 ** -rng.uniform(0, 9, 100)
     assert np.abs(np.log10(DECODED[quantise(p)]) - np.log10(p)).max() <= 0.0193
 
@@ -181,7 +188,7 @@ def test_lm_scores(docs, rows, block):
             base += math.log10(p0)
             model += math.log10(p0 if not contexts[a] else (max(two[a, b] - 0.75, 0) + 0.75 * fan[a] * p0) / contexts[a])
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[i], len(w), sum(one[x] > 0 for x in w), n)
-        assert g.base_score == pytest.approx(base, rel=1e-9) and g.score == pytest.approx(model, abs=0.02 * len(w))
+        assert g.base_score == pytest.approx(base, rel=1e-9) and g.bigram_score == pytest.approx(model, abs=0.02 * len(w))
 
 
 @pytest.mark.parametrize("block", [1 << 13, 1 << 20])
@@ -209,8 +216,8 @@ def test_lm_trigram_scores(docs, rows, block):
     better = 0
     for i, w in texts.items():
         model = sum(math.log10(p(tuple([0, *w][max(0, j - 1) : j + 2]))) for j in range(len(w)))
-        assert got[i].trigram_score == pytest.approx(model, abs=0.03 * len(w)), i
-        better += got[i].trigram_score > got[i].score + 1
+        assert got[i].score == pytest.approx(model, abs=0.03 * len(w)), i
+        better += got[i].score > got[i].bigram_score + 1
     assert better
 
 
