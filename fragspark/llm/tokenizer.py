@@ -11,10 +11,14 @@ chunk runs once more from its now known state.
 
 ``CountMachine`` reads the bytes of one pre-token. A transition is annotated
 with the net number of tokens that it emits (negative where a byte lets earlier
-tokens merge), so a pre-token's count is the sum along its path. The machine is
-determinised as it is read: the states are the prefixes met so far. The last
-token after a prefix is the one suffix token that is stable beside the last
-token of the rest, which takes merge ranks along two spines to decide.
+tokens merge), so a pre-token's count is the sum along its path. The
+last token after a prefix is the one suffix token that is stable beside the last
+token of the rest, which takes merge ranks along two spines to decide. So all that the future
+may ask of a prefix is, for every suffix of it that begins some token, the last token before that suffix and
+how many tokens came since: a state is that list. Lists are bounded by the longest token, so there are finitely many states;
+they are numbered as they are met, and prefixes with the same list share one. A long pre-token is read in chunks: every chunk has a partial map from start
+states to end state and count, begun from the state that the bytes just before it lead to, as the machine soon forgets
+what came earlier; the maps are composed by a prefix scan, and where a composed state is missing in the next chunk's map, that chunk is run from it.
 """
 
 from __future__ import annotations
@@ -225,51 +229,105 @@ class Vocabulary:
 
 
 class CountMachine:
-    """Lazily determinised; ``limit`` bounds the states held, after which it starts again from none."""
+    """Lazily determinised; ``limit`` bounds the transitions held, after which it starts again from none."""
+
+    #: Bytes of a chunk, and bytes before it that guess its start state.
+    CHUNK, WARM = 4096, 64
+    #: A transition is kept as after << SHIFT | emitted + HALF.
+    SHIFT, HALF = 20, 1 << 19
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 1_000_000) -> None:
         self.vocabulary, self.limit = vocabulary, limit
+        self.node: dict[int, int] = {}
+        self.token, self.inner = array("i", [-1]), bytearray(1)
+        for word, number in vocabulary.number.items():
+            at = 0
+            for byte in word:
+                self.inner[at] = 1
+                after = self.node.get(at << 8 | byte)
+                if after is None:
+                    after = self.node[at << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(0)
+                at = after
+            self.token[at] = number
         self.reset()
 
-    def reset(self) -> None:
+    def reset(self, *kept: tuple) -> None:
+        """Forgets all transitions and all states but the first and ``kept``."""
         self.goto: dict[int, int] = {}
-        self.last, self.count, self.parent = array("i", [-1]), array("i", [0]), array("i", [-1])
+        self.states: list[tuple] = []
+        self.number: dict[tuple, int] = {}
+        for state in (((0, -1, 0),), *kept):
+            self.intern(state)
+
+    def intern(self, state: tuple) -> int:
+        number = self.number.get(state)
+        if number is None:
+            number = self.number[state] = len(self.states)
+            self.states.append(state)
+        return number
 
     def read(self, word: bytes) -> int:
         """The sum of the counts along the word's path."""
-        if len(self.last) > self.limit:
+        if len(self.goto) > self.limit:
             self.reset()
-        goto, state, total = self.goto, 0, 0
-        for i, byte in enumerate(word):
-            key = state << 8 | byte
-            after = goto.get(key)
-            if after is None:
-                after = goto[key] = self.extend(state, word[: i + 1])
-            total += self.count[after]
-            state = after
+        return self.run(0, word)[1] if len(word) <= self.CHUNK else self.scan(word)
+
+    def run(self, state: int, data: bytes) -> tuple[int, int]:
+        """(end state, count)."""
+        goto, total, shift, half = self.goto, 0, self.SHIFT, self.HALF
+        mask = (1 << shift) - 1
+        for byte in data:
+            step = goto.get(state << 8 | byte)
+            if step is None:
+                step = goto[state << 8 | byte] = self.extend(state, byte)
+            total += (step & mask) - half
+            state = step >> shift
+        return state, total
+
+    def scan(self, word: bytes) -> int:
+        """The count of a long pre-token by chunk maps; maps are kept by content, so repeated chunks are run once."""
+        maps: dict[bytes, dict[tuple, tuple[tuple, int]]] = {}
+        known, state, total = 0, self.states[0], 0
+        for at in range(0, len(word), self.CHUNK):
+            chunk = word[at : at + self.CHUNK]
+            own = maps.get(chunk)
+            if own is None:
+                guess = self.states[self.run(0, word[max(0, at - self.WARM) : at])[0]]
+                own = maps[chunk] = {guess: self.mapped(guess, chunk)}
+                known += 1
+            if state not in own:
+                own[state] = self.mapped(state, chunk)
+            state, count = own[state]
+            total += count
+            if len(self.goto) > self.limit:
+                self.reset(state)
+            if known > 1024:
+                maps.clear()
+                known = 0
         return total
 
-    def extend(self, state: int, prefix: bytes) -> int:
-        """A new state; its transition emits as many tokens as the prefix has more than the prefix before."""
-        number, keeps = self.vocabulary.number, self.vocabulary.keeps
-        chain, back = [state], state  # states after each shorter prefix, longest first
-        for _ in range(min(len(prefix), self.vocabulary.longest) - 1):
-            back = self.parent[back]
-            chain.append(back)
-        for size in range(len(chain), 0, -1):
-            token = number.get(prefix[-size:])
-            if token is None:
-                continue
-            before = chain[size - 1]
-            if before == 0 or keeps(self.last[before], token):
+    def mapped(self, state: tuple, chunk: bytes) -> tuple[tuple, int]:
+        end, count = self.run(self.intern(state), chunk)
+        return self.states[end], count
+
+    def extend(self, state: int, byte: int) -> int:
+        """The transition of a state on a byte: of the suffixes that go on, the longest whose whole is a token that is stable beside the token before it."""
+        keeps, moved = self.vocabulary.keeps, []
+        for node, last, since in self.states[state]:
+            after = self.node.get(node << 8 | byte)
+            if after is not None:
+                moved.append((after, last, since))
+        for node, last, since in moved:
+            token = self.token[node]
+            if token >= 0 and (last < 0 or keeps(last, token)):
                 break
         else:
             raise ValueError("a byte is missing from the vocabulary")
-        emitted = 1 - sum(self.count[s] for s in chain[: size - 1])
-        self.last.append(token)
-        self.count.append(emitted)
-        self.parent.append(state)
-        return len(self.last) - 1
+        emitted = 1 - since
+        live = [(n, before, s + emitted) for n, before, s in moved if self.inner[n]]
+        return self.intern((*live, (0, token, 0))) << self.SHIFT | emitted + self.HALF
 
 
 @lru_cache(maxsize=2)
@@ -340,6 +398,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.known = Tokenizer.from_file(path), Memo(limit)
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in 16 bits: vocabularies of up to 65,536 tokens")
         self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.reset()
 

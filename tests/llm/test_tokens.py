@@ -46,6 +46,17 @@ def test_transducers_on_odd_strings(seed):
     assert flat.tolist() == [i for e in expected for i in e] and sizes.sum() == len(flat)
 
 
+def test_very_long_pretokens_in_chunks():
+    import random
+
+    rng = random.Random(5)
+    long = ["x" * 1_000_000, "".join(rng.choice(["the", "tion", "ing", "pre", "é", "er"]) for _ in range(60_000)), "".join(rng.choice("abcdefgh") for _ in range(30_000))]
+    for limit in (1_000_000, 2_000):
+        machine = K.CountMachine(K.vocabulary(PATH), limit)
+        assert [machine.read(w.encode()) for w in long] == [len(i) for i in ids(long)]
+    assert len(machine.goto) <= 2_000 + K.CountMachine.CHUNK
+
+
 def test_chunk_maps_compose():
     after, _ = K.word_machine()
     symbols = np.random.default_rng(1).integers(0, K.CLASSES, 3 * K.CHUNK + 17).astype(np.uint8)
