@@ -8,8 +8,8 @@ most one entry a block, which is the pre-aggregation that defuses hot keys.
 Messages are rows (dst, src, kind, data); dst and src number blocks or shards, and data is compressed. A message
 without keys isn't sent. There are fewer shards than blocks, as many as the load of keys needs.
 
-The documents are dealt to blocks by one exchange on their id, which later
-passes reuse. Losing an executor recomputes blocks from the same rows: inside a
+The documents are dealt to blocks by one exchange on their id and text, which later
+passes reuse; so rows that share an id, or have none, spread over the blocks. Losing an executor recomputes blocks from the same rows: inside a
 block documents are ordered by (id, text), so every pass sees the same order.
 """
 
@@ -55,9 +55,9 @@ def block_count(docs: DataFrame, block_bytes: int, text_col: str = "text") -> tu
 
 
 def to_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(block, id, text[, row]): the rows dealt by a hash of the id; ``row`` holds the carried columns."""
+    """(block, id, text[, row]): the rows dealt by a hash of id and text; ``row`` holds the carried columns."""
     cols = [
-        F.expr(f"cast(pmod(xxhash64(`{id_col}`), {blocks}) as int)").alias("block"),
+        F.expr(f"cast(pmod(xxhash64(`{id_col}`, `{text_col}`), {blocks}) as int)").alias("block"),
         F.col(f"`{id_col}`").cast("bigint").alias("id"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
     ]
@@ -87,6 +87,11 @@ def by_shard(sent: DataFrame, fn: Callable[[pa.Table], pa.Table]) -> DataFrame:
     return sent.groupBy("dst").applyInArrow(fn, MESSAGE_SQL)
 
 
+def shard_count(blocks: int, blocks_each: int) -> int:
+    """As many shards as the keys of so many blocks each need."""
+    return max(8, -(-blocks // blocks_each))
+
+
 def shard_bounds(sorted_keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
     """Cuts sorted keys below 2**bits into ``shards`` equal ranges of key space: shards + 1 positions."""
     edges = [min((i << bits) // shards, (1 << 64) - 1) for i in range(shards)]

@@ -9,12 +9,12 @@ The sketch is as wide as the corpus has windows, and it is split over the
 shards; no task holds it whole and nothing of it is broadcast.
 
 Round two: only windows estimated repeated are grouped exactly, by 96-bit keys
-of their word sequence. A block sends the first occurrence of each; the shard
+of their word sequence, whose two parts come from hashes of the words that share nothing. A block sends the first occurrence of each; the shard
 finds the earliest (id, start) and marks the others.
 
 Null or empty text: no words, nothing removed, hash of the empty string. A null
-id sorts before all others. Rows that share an id count as one after another in
-text order. Columns other than id and text are ignored.
+id sorts before all others. Rows that share an id count as one after another, in an
+order that their texts fix. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class _Block:
         words = T.span_hashes(self.buf, self.starts, self.ends)
         self.at = T.windows_inside(self.firsts, width)
         self.key = T.mix(T.fold(words, width, BASES[0])[self.at]) if len(self.at) else np.zeros(0, np.uint64)
-        self.words, self.width, self.bits = words, width, bits
+        self.width, self.bits = width, bits
 
     def row(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sketch row r: its sorted cells, the cell number of each window, and whether the cell holds two or more here."""
@@ -54,7 +54,10 @@ class _Block:
 
     def candidates(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the windows numbered ``chosen``: keys (two parts) and numbers of the first occurrences, sorted by key; numbers of the others."""
-        more = T.mix(T.fold(T.mix(self.words, SEEDS[1]), self.width, BASES[1])[self.at[chosen]]).astype(np.uint32) if len(chosen) else np.zeros(0, np.uint32)
+        more = np.zeros(0, np.uint32)
+        if len(chosen):
+            words = T.span_hashes(self.buf, self.starts, self.ends, T.OTHER_KEYS)
+            more = T.mix(T.fold(words, self.width, BASES[1])[self.at[chosen]]).astype(np.uint32)
         key = self.key[chosen]
         order = np.lexsort((chosen, more, key))
         key, more, number = key[order], more[order], chosen[order]
@@ -69,7 +72,7 @@ def _sketch(width: int, bits: int, shards: int):
         for r in range(DEPTH):
             cells = block.row(r)[0]
             cuts = X.shard_bounds(cells, bits, shards)
-            out += [(s, src, r, T.pack_sorted(cells[cuts[s] : cuts[s + 1]])) for s in range(shards) if cuts[s] < cuts[s + 1]]
+            out += [(s, src, r, T.pack_sorted(cells[cuts[s] : cuts[s + 1]])) for s in np.flatnonzero(np.diff(cuts)).tolist()]
         return X.messages(out)
 
     return run
@@ -85,18 +88,17 @@ def _candidates(width: int, bits: int, shards: int):
         for r in range(DEPTH):
             cells, number, many = block.row(r)
             cuts = X.shard_bounds(cells, bits, shards)
-            for s in range(shards):
-                if cuts[s] < cuts[s + 1] and (r, s) in told:
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                if (r, s) in told:
                     many[cuts[s] : cuts[s + 1]] |= np.unpackbits(np.frombuffer(told[r, s], np.uint8), count=cuts[s + 1] - cuts[s]).astype(bool)
             estimated &= many[number]
         out = [(src % shards, src, 9, np.packbits(estimated).tobytes())]
         key, more, number, _ = block.candidates(np.flatnonzero(estimated))
         ids = X.ids_of(block.table)[np.searchsorted(block.firsts, block.at[number], "right") - 1]
         cuts = X.shard_bounds(key, 64, shards)
-        for s in range(shards):
-            if cuts[s] < cuts[s + 1]:
-                part = slice(cuts[s], cuts[s + 1])
-                out.append((s, src, 1, key[part].tobytes() + ids[part].tobytes() + more[part].tobytes()))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[s], cuts[s + 1])
+            out.append((s, src, 1, key[part].tobytes() + ids[part].tobytes() + more[part].tobytes()))
         return X.messages(out)
 
     return run
@@ -131,7 +133,7 @@ def _remove(width: int, bits: int, shards: int, with_text: bool):
         key, _, number, again = block.candidates(chosen)
         goes = np.zeros(len(key), dtype=bool)
         cuts = X.shard_bounds(key, 64, shards)
-        for s in range(shards):
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
             if (1, s) in told:
                 goes[cuts[s] : cuts[s + 1]] = np.unpackbits(np.frombuffer(told[1, s], np.uint8), count=cuts[s + 1] - cuts[s]).astype(bool)
         gone = block.at[np.concatenate([number[goes], again])]
@@ -162,9 +164,10 @@ def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", te
 
     Returns (doc_id, n_words, n_removed, kept_sha256[, kept_text]), a row for every row of ``docs``.
     """
-    shards, n, size = X.block_count(docs, block_bytes, text_col)
+    count, _, size = X.block_count(docs, block_bytes, text_col)
+    shards = X.shard_count(count, 4)
     bits = int(max(size, 64)).bit_length()  # words take two bytes and more with their space: two to four cells a window at the usual six
-    blocks = X.to_blocks(docs, shards, id_col, text_col)
+    blocks = X.to_blocks(docs, count, id_col, text_col)
     sketch = X.by_block(blocks, _sketch(width, bits, shards), X.MESSAGE_SQL)
     repeated = X.by_shard(sketch, X.shared_keys)
     entries = X.with_answers(blocks, repeated, _candidates(width, bits, shards), X.MESSAGE_SQL)

@@ -95,7 +95,7 @@ def _ask(length: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
         block, src = _Block(table, length), table.column("block")[0].as_py()
         cuts = X.shard_bounds(block.keys, 64, shards)
-        return X.messages([(s, src, 0, T.pack_sorted(block.keys[cuts[s] : cuts[s + 1]])) for s in range(shards) if cuts[s] < cuts[s + 1]])
+        return X.messages([(s, src, 0, T.pack_sorted(block.keys[cuts[s] : cuts[s + 1]])) for s in np.flatnonzero(np.diff(cuts)).tolist()])
 
     return run
 
@@ -115,11 +115,10 @@ def _send(length: int, shards: int):
         sizes = np.array([len(k[1]) for k in kinds], dtype=np.int32)
         places = np.array([k[2] for k in kinds], dtype=np.int32)
         cuts = X.shard_bounds(keys, 64, shards)
-        for s in range(shards):
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
             p = slice(cuts[s], cuts[s + 1])
-            if cuts[s] < cuts[s + 1]:
-                head = [keys[p].tobytes(), sizes[p].tobytes(), places[p].tobytes(), (counts[p] > 1).astype(np.uint8).tobytes()]
-                out.append((s, src, 1, np.int64(cuts[s + 1] - cuts[s]).tobytes() + b"".join(head) + b"".join(k[1] for k in kinds[p])))
+            head = [keys[p].tobytes(), sizes[p].tobytes(), places[p].tobytes(), (counts[p] > 1).astype(np.uint8).tobytes()]
+            out.append((s, src, 1, np.int64(cuts[s + 1] - cuts[s]).tobytes() + b"".join(head) + b"".join(k[1] for k in kinds[p])))
         return X.messages(out)
 
     return run
@@ -213,7 +212,7 @@ def _remove(length: int, shards: int, schema: pa.Schema, words: int | None, sure
         keys = np.array([k[0] for k in kinds], dtype=np.uint64)
         cuts = X.shard_bounds(keys, 64, shards)
         repeated = np.zeros((len(kinds), width), dtype=bool)
-        for s in range(shards):
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
             if (1, s) in told:
                 rows = np.frombuffer(told[1, s], np.uint8).reshape(cuts[s + 1] - cuts[s], -1)
                 repeated[cuts[s] : cuts[s + 1]] = np.unpackbits(rows, axis=1, count=width)
@@ -261,8 +260,9 @@ def suffix_dedup(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    shards, _, _ = X.block_count(docs, block_bytes, text_col)
-    blocks = X.to_blocks(docs, shards, id_col, text_col, carry)
+    count, _, _ = X.block_count(docs, block_bytes, text_col)
+    shards = X.shard_count(count, 2)
+    blocks = X.to_blocks(docs, count, id_col, text_col, carry)
     fields = [S.StructField(n, S.LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [S.StructField("kept_sha256", S.StringType())]
     if carry:
         fields += [S.StructField("kept_text", S.StringType()), blocks.schema["row"]]

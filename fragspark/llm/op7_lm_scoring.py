@@ -373,7 +373,7 @@ def _score(shards: int):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bigram_score) for every row."""
     count, _, _ = X.block_count(docs, block_bytes, text_col)
-    shards = max(8, -(-count // 2))
+    shards = X.shard_count(count, 2)
     blocks = X.to_blocks(docs, count, id_col, text_col)
     counted = X.by_block(blocks, _count(shards), X.MESSAGE_SQL)
     totals = X.by_shard(counted, _total(shards))

@@ -18,6 +18,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: For a second hash that shares nothing with the first.
+OTHER_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 CHUNK = 1 << 20
@@ -80,7 +82,7 @@ def split_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray = BYTE_KEYS) -> np.ndarray:
     """64-bit hashes of the byte spans [starts, ends), which must be sorted by start."""
     out = np.empty(len(starts), dtype=np.uint64)
     i, n = 0, len(starts)
@@ -90,7 +92,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         high = int(ends[i:j].max())
         size = high - low
         sums = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum(BYTE_KEYS[buf[low:high]] * powers(BASE, size), out=sums[1:])
+        np.cumsum(keys[buf[low:high]] * powers(BASE, size), out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
         out[i:j] = (sums[e] - sums[s]) * powers(BASE_INV, size + 1)[s]
         i = j
