@@ -2,7 +2,8 @@
 
 A monotone sequence keeps its low bits packed and its high parts as a bit vector with
 a one for each value and a zero for each step of the high part. Counts of ones in 64-bit
-words give rank and select, vectorised over many queries at once.
+words give rank and select, vectorised over many queries at once; a batch of queries that is not much smaller than
+the sequence decodes it once, in a few passes, and looks there.
 
 The trie: the first level holds tokens (sorted ids). Every further level holds pointers from the places of the level before to
 their runs of successors, the successors, and a quantised probability each. A run is
@@ -89,7 +90,17 @@ class Sequence:
         high = np.packbits(bits, bitorder="little").view(np.uint64)
         return cls(n, width, universe, _pack(values & ((ONE << np.uint64(width)) - ONE), width), high)
 
+    def dense(self, queries: int) -> bool:
+        return queries * 8 >= self.n
+
+    def values(self) -> np.ndarray:
+        """All values, in one pass over the bits."""
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)) | _unpack(self.low, self.width, np.arange(self.n))
+
     def get(self, i: np.ndarray) -> np.ndarray:
+        if self.dense(len(i)):
+            return self.values()[i]
         high = _select(self.high, self.ones, i) - i
         return (high.astype(np.uint64) << np.uint64(self.width)) | _unpack(self.low, self.width, i)
 
@@ -100,6 +111,17 @@ class Sequence:
         """
         out = np.full(len(values), -1, dtype=np.int64)
         values = values.astype(np.uint64)
+        if self.n and self.dense(len(values)):
+            own = self.values()
+            at = np.searchsorted(own, values)
+            if first is not None:
+                at = np.maximum(at, first)
+            stop = np.minimum(self.n, self.n if last is None else last)
+            inside = at < stop
+            hit = np.flatnonzero(inside)
+            hit = hit[own[at[hit]] == values[hit]]
+            out[hit] = at[hit]
+            return out
         ok = np.flatnonzero(values < np.uint64(self.universe)) if self.n else np.zeros(0, np.int64)
         high = (values[ok] >> np.uint64(self.width)).astype(np.int64)
         low = values[ok] & ((ONE << np.uint64(self.width)) - ONE)
@@ -178,20 +200,24 @@ class Trie:
         return cls(np.memmap(path, np.uint64, "r"))
 
     def runs(self, level: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The runs of successors [first, last) of contexts by their places in the level before."""
-        return tuple(self.pointers[level].get(context + i).astype(np.int64) for i in (0, 1))
-
-    def child(self, level: int, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The place of each successor in the run of its context; -1 where either is missing."""
-        out = np.full(len(context), -1, dtype=np.int64)
-        there = np.flatnonzero(context >= 0)
-        first, last = self.runs(level, context[there])
-        some = first < last
-        there, first, last = there[some], first[some], last[some]
-        start = np.zeros(len(there), dtype=np.uint64)  # where the run before ended
-        start[first > 0] = self.successors[level].get(first[first > 0] - 1)
-        out[there] = self.successors[level].find(start + successor[there].astype(np.uint64), first, last)
-        return out
+        """The runs of successors [first, last) of contexts by their places in the level before; empty for place -1."""
+        n = self.pointers[level].n
+        if self.pointers[level].dense(2 * len(context)):
+            ends = self.pointers[level].values().astype(np.int64)
+            first, last = ends[np.maximum(context, 0)], ends[np.minimum(context + 1, n - 1)]
+        else:
+            first, last = (self.pointers[level].get(np.clip(context + i, 0, n - 1)).astype(np.int64) for i in (0, 1))
+        return first, np.where(context >= 0, last, first)
+
+    def child(self, level: int, context: np.ndarray, successor: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
+        """The place of each successor in the run of its context, or -1; with ``often``, a context goes with so many successors."""
+        first, last = self.runs(level, context)
+        start = np.zeros(len(first), dtype=np.uint64)  # where the run before ended
+        some = np.flatnonzero((first > 0) & (first < last))
+        start[some] = self.successors[level].get(first[some] - 1)
+        if often is not None:
+            first, last, start = np.repeat(first, often), np.repeat(last, often), np.repeat(start, often)
+        return self.successors[level].find(start + successor.astype(np.uint64), first, last)
 
     def code(self, level: int, place: np.ndarray) -> np.ndarray:
         """Codes by place, 0 for place -1."""
@@ -201,8 +227,5 @@ class Trie:
 
     def fan_out(self, level: int, context: np.ndarray) -> np.ndarray:
         """How many successors each context has; 0 for place -1."""
-        out = np.zeros(len(context), dtype=np.int64)
-        there = np.flatnonzero(context >= 0)
-        first, last = self.runs(level, context[there])
-        out[there] = last - first
-        return out
+        first, last = self.runs(level, context)
+        return last - first

@@ -278,9 +278,9 @@ def _near_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, in
     out = []
     for (dst, src, *_), r, last, third in zip(sent, rows, lasts, thirds):
         root = trie.tokens.find(r[0])
-        pair = trie.child(0, np.repeat(root, r[2]), last)
+        pair = trie.child(0, root, last, r[2])
         used = np.flatnonzero(r[5])
-        code = trie.code(1, trie.child(1, np.repeat(pair[used], r[5][used]), third))
+        code = trie.code(1, trie.child(1, pair[used], third, r[5][used]))
         back = quantise(DISCOUNT * trie.fan_out(1, pair[used]) / np.maximum(sizes[pair[used]], 1))
         body = [trie.code(0, pair).tobytes(), _planes(trie.fan_out(0, root)), code.tobytes(), back.tobytes(), _planes(trie.fan_out(1, pair[r[8]])), _planes(sizes[pair[r[8]]])]
         out.append((src, dst, 1, _with_length(body)))
@@ -309,7 +309,7 @@ def _far_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int
     out = []
     for (dst, src, *_), r, last, third in zip(sent, rows, lasts, thirds):
         pair = trie.child(0, trie.tokens.find(r[0].astype(np.uint64)), last)
-        code = trie.code(1, trie.child(1, np.repeat(pair, r[2]), third))
+        code = trie.code(1, trie.child(1, pair, third, r[2]))
         out.append((src, dst, 2, _with_length([code.tobytes(), _planes(trie.fan_out(1, pair)), _planes(sizes[pair])])))
     return out
 

@@ -148,6 +148,11 @@ def test_elias_fano_and_trie(tmp_path):
         probe = np.concatenate([values, rng.integers(0, universe + 5, 200)])
         at = s.find(probe.astype(np.uint64))
         assert ((at >= 0) == np.isin(probe, values)).all() and (values[at[at >= 0]] == probe[at >= 0]).all()
+        few = rng.choice(probe, min(len(probe), max(1, n // 20)))  # too few to decode all
+        at = s.find(few.astype(np.uint64))
+        assert ((at >= 0) == np.isin(few, values)).all() and (values[at[at >= 0]] == few[at >= 0]).all()
+        some = rng.integers(0, max(n, 1), n // 20)
+        assert (s.get(some).astype(np.int64) == values[some]).all()
     grams = np.unique(np.column_stack([rng.integers(0, 50, 900), rng.integers(0, 500, 900), rng.integers(0, 9, 900)]), axis=0)
     pairs, third = np.unique(grams[:, :2], axis=0, return_inverse=True)
     tokens = np.unique(pairs[:, 0])
@@ -164,6 +169,7 @@ def test_elias_fano_and_trie(tmp_path):
         assert trie.code(1, trie.child(1, pair, c)).tolist() == [known[1].get(p, 0) for p in zip(a.tolist(), b.tolist(), c.tolist())]
         assert trie.fan_out(0, trie.tokens.find(np.arange(60).astype(np.uint64))).tolist() == [int((pairs[:, 0] == x).sum()) for x in range(60)]
         assert trie.fan_out(1, np.arange(len(pairs))).tolist() == np.bincount(third.ravel()).tolist()
+        assert [int(trie.child(1, pair[i : i + 1], c[i : i + 1])[0]) for i in range(0, 3000, 50)] == trie.child(1, pair, c)[::50].tolist()
     p = 10.0 ** -rng.uniform(0, 9, 100)
     assert np.abs(np.log10(DECODED[quantise(p)]) - np.log10(p)).max() <= 0.0193
 
