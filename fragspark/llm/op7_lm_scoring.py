@@ -275,14 +275,23 @@ def _near_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, in
     sizes = np.append(np.bincount(context, counts, len(pairs)).astype(np.int64), 0)  # the last one for pairs out of training
     trie = Trie.mapped(Trie.levels(contexts, second, (context, found % span, quantise((counts - DISCOUNT) / sizes[context]))))
     del second, found, counts, context, pairs
+    # all messages are answered at once: the trie is decoded a level at a time, however many blocks ask
+    every = lambda parts: np.concatenate(list(parts))
+    root = trie.tokens.find(every(r[0] for r in rows))
+    pair = trie.child(0, root, every(lasts), every(r[2] for r in rows))
+    follow = every(r[5] for r in rows)
+    used = pair[follow > 0]
+    third = trie.code(1, trie.child(1, used, every(thirds), follow[follow > 0]))
+    size, fan = sizes[used], trie.fan_out(1, used)
+    back = quantise(DISCOUNT * fan / np.maximum(size, 1))
+    second, fans = trie.code(0, pair), trie.fan_out(0, root)
+    cuts = [np.concatenate([[0], np.cumsum([len(x) for x in parts])]) for parts in ([r[0] for r in rows], lasts, thirds)]
+    most = np.concatenate([[0], np.cumsum(follow > 0)])[cuts[1]]
     out = []
-    for (dst, src, *_), r, last, third in zip(sent, rows, lasts, thirds):
-        root = trie.tokens.find(r[0])
-        pair = trie.child(0, root, last, r[2])
-        used = np.flatnonzero(r[5])
-        code = trie.code(1, trie.child(1, pair[used], third, r[5][used]))
-        back = quantise(DISCOUNT * trie.fan_out(1, pair[used]) / np.maximum(sizes[pair[used]], 1))
-        body = [trie.code(0, pair).tobytes(), _planes(trie.fan_out(0, root)), code.tobytes(), back.tobytes(), _planes(trie.fan_out(1, pair[r[8]])), _planes(sizes[pair[r[8]]])]
+    for i, ((dst, src, *_), r) in enumerate(zip(sent, rows)):
+        own, w, u = (slice(c[i], c[i + 1]) for c in (cuts[1], cuts[2], most))
+        split = pair[own][r[8]]
+        body = [second[own].tobytes(), _planes(fans[cuts[0][i] : cuts[0][i + 1]]), third[w].tobytes(), back[u].tobytes(), _planes(trie.fan_out(1, split)), _planes(sizes[split])]
         out.append((src, dst, 1, _with_length(body)))
     return out
 
