@@ -29,7 +29,7 @@ def gc_count(seq: Column) -> Column:
 
 def is_kmer(kmer: Column, k: int) -> Column:
     """A string of k letters, all of them A, C, G or T."""
-    return (F.length(kmer) == k) & (F.length(F.translate(kmer, "ACGT", "")) == 0)
+    return kmer.rlike(f"^[ACGT]{{{k}}}$")
 
 
 def gen_kmers(spark: SparkSession, k: int, bases: str = "ACGT") -> DataFrame:

@@ -43,8 +43,11 @@ def length_bins(frags: DataFrame, min_length: int = 0, max_length: int | None =
     h = length_counts(frags, min_length=min_length, max_length=max_length, **filters)
     ends = h.agg(F.min("length").alias("low"), F.max("length").alias("high"))
     low = F.lit(min_length).cast("bigint") if min_length else F.col("low")
-    spine = ends.where("low is not null").select(low.alias("low"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("high") - low) / bin_size))).alias("bin"))
-    filled = spine.join(h, F.floor((F.col("length") - F.col("low")) / bin_size) == F.col("bin"), "left")
+    ends = ends.where("low is not null").select(low.alias("low"), "high")  # one row
+    bin_of = lambda x: F.floor((x - F.col("low")) / bin_size).cast("bigint")
+    spine = ends.select("low", F.explode(F.sequence(F.lit(0).cast("bigint"), bin_of(F.col("high")))).alias("bin"))
+    binned = h.crossJoin(F.broadcast(ends)).select(bin_of(F.col("length")).alias("bin"), "n")
+    filled = spine.join(binned, "bin", "left")
     return filled.groupBy("low", "bin").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("count")).select(
         (F.col("low") + F.col("bin") * bin_size).alias("min"), (F.col("low") + (F.col("bin") + 1) * bin_size - 1).alias("max"), "count"
     )

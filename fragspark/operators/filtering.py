@@ -31,11 +31,7 @@ def filter_fragments(
         half = 2 * (F.least("stop", "r_stop") - F.greatest("start", "r_start")) >= length()
     if whitelist is None and blacklist is None:
         return out
-    if "fid" not in out.columns:
-        # equal fragments have equal neighbours: their values are their identity
-        key = F.xxhash64("contig", "start", "stop")
-        out = out.withColumn("fid", F.concat_ws(":", "contig", "start", "stop", key))
     for regions, how in ((whitelist, "semi"), (blacklist, "anti")):
         if regions is not None:
-            out = interval_join(out, regions.select("contig", "start", "stop"), "any", how, extra=half)
+            out = interval_join(out, regions.select("contig", "start", "stop"), "any", how, extra=half, longest=max_length)
     return out.select(*frags.columns)

@@ -17,6 +17,8 @@ from fragspark.functions.sequence import div, midpoint
 from fragspark.operators.fragments import in_region
 
 BIN = 4096
+#: Bases of a contig that one window of an ordered pass takes.
+CHUNK = 1 << 24
 
 
 def _bins(start: Column, stop: Column, size: int) -> Column:
@@ -24,12 +26,12 @@ def _bins(start: Column, stop: Column, size: int) -> Column:
     return F.explode(F.sequence(div(start, size), F.greatest(div(stop - 1, size), div(start, size))))
 
 
-def interval_join(frags: DataFrame, regions: DataFrame, policy: str = "midpoint", how: str = "inner", bin_size: int = BIN, extra: Column | None = None) -> DataFrame:
+def interval_join(frags: DataFrame, regions: DataFrame, policy: str = "midpoint", how: str = "inner", bin_size: int = BIN, extra: Column | None = None, longest: int | None = None) -> DataFrame:
     """Joins fragments to the regions that they belong to.
 
     ``inner``: all columns of the fragment, and the region's with the prefix ``r_``. ``semi`` and ``anti``: fragments with or
-    without a region; they need a column ``fid`` that tells fragments apart only for ``any``. ``extra`` is one more condition
-    on a pair, on the same names.
+    without a region, each once; for ``any`` they need to know the ``longest`` fragment, and look for it where it isn't given. ``extra`` is one more
+    condition on a pair, on the same names.
     """
     if how not in ("inner", "semi", "anti"):
         raise InvalidInputError(f"unknown join {how!r}")
@@ -48,11 +50,15 @@ def interval_join(frags: DataFrame, regions: DataFrame, policy: str = "midpoint"
         once = F.col("f_bin") == div(F.greatest("start", "r_start"), bin_size)
         on = (F.col("contig") == F.col("r_contig")) & (F.col("f_bin") == F.col("r_bin")) & belongs & once
         return f.join(r, on).drop("f_bin", "r_bin")
-    # a fragment belongs to a region of any bin that it meets: it is looked up in each, once
-    f = frags.withColumn("f_bin", _bins(F.col("start"), F.col("stop"), bin_size))
+    # a fragment is looked up once, in the bin of its start; a region waits in every bin where a fragment that meets it may start
+    if longest is None:
+        longest = int(frags.agg(F.max(F.col("stop") - F.col("start"))).first()[0] or 0)
+    while bin_size < longest:
+        bin_size *= 2
+    r = r.withColumn("r_bin", _bins(F.col("r_start") - max(longest, 1), F.greatest(F.col("r_stop"), F.col("r_start") + 1), bin_size))
+    f = frags.withColumn("f_bin", div(F.col("start"), bin_size))
     on = (F.col("contig") == F.col("r_contig")) & (F.col("f_bin") == F.col("r_bin")) & belongs
-    found = f.join(r, on, "left_semi").select("fid").distinct()
-    return frags.join(found, "fid", "left_semi" if how == "semi" else "left_anti")
+    return f.join(r, on, "left_semi" if how == "semi" else "left_anti").drop("f_bin")
 
 
 def overlaps(regions: DataFrame, others: DataFrame, how: str = "anti", bin_size: int = 1 << 20) -> DataFrame:
@@ -65,14 +71,28 @@ def overlaps(regions: DataFrame, others: DataFrame, how: str = "anti", bin_size:
     return regions.join(found, "idx", "left_anti" if how == "anti" else "left_semi").select(*regions.columns)
 
 
-def merge(regions: DataFrame, strictly: bool = False, by: str = "contig") -> DataFrame:
-    """Unions of overlapping intervals of each contig; touching ones merge too, unless ``strictly``."""
-    order = Window.partitionBy(by).orderBy("start", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+def merge(regions: DataFrame, strictly: bool = False, by: str = "contig", chunk: int = CHUNK) -> DataFrame:
+    """Unions of overlapping intervals of each contig; touching ones merge too, unless ``strictly``.
+
+    Windows run over chunks of a contig; what reaches into a chunk from those before, and how many islands begin there, is
+    carried over in a row a chunk.
+    """
+    rows = regions.select(by, "start", "stop", div(F.col("start"), chunk).alias("chunk"))
+    along = Window.partitionBy(by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(by, "chunk").agg(F.max("stop").alias("stop")).select(by, "chunk", F.max("stop").over(along).alias("carried"))
+    order = Window.partitionBy(by, "chunk").orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.greatest(before, "carried")  # nulls are passed over
     apart = (F.col("start") >= reach) if strictly else (F.col("start") > reach)
-    island = F.sum(F.when(reach.isNull() | apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = regions.select(by, "start", "stop", island.alias("island"))
-    return marked.groupBy(by, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+    marked = rows.join(carry, [by, "chunk"]).withColumn("begins", F.when(reach.isNull() | apart, 1).otherwise(0))
+    nth = F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    parts = marked.withColumn("nth", nth).groupBy(by, "chunk", "nth").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    # an island that goes on in the next chunk is the 0th there, and takes the number of the last one before
+    number = F.struct("chunk", "nth")
+    last = parts.groupBy(by, "chunk").agg(F.max("nth").alias("last")).where("last > 0").select(by, "chunk", F.struct("chunk", F.col("last").alias("nth")).alias("own"))
+    origin = parts.select(by, "chunk").distinct().join(last, [by, "chunk"], "left").select(by, "chunk", F.last("own", True).over(along).alias("open"))
+    island = F.when(F.col("nth") > 0, number).otherwise(F.col("open"))
+    return parts.join(origin, [by, "chunk"]).groupBy(by, island.alias("island")).agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
 def centred(regions: DataFrame, sizes: DataFrame | None, size: int) -> DataFrame:

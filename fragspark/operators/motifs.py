@@ -18,15 +18,15 @@ TILE, LAP = 1000, 64
 
 
 def tiles(sequences: DataFrame, tile: int = TILE, lap: int = LAP) -> DataFrame:
-    """(contig, tile, seq) from whole sequences (contig, seq), in upper case."""
-    cut = F.explode(F.sequence(F.lit(0).cast("bigint"), div(F.greatest(F.length("seq") - 1, F.lit(0)), tile)))
-    return sequences.where(F.length("seq") > 0).select("contig", cut.alias("tile"), F.upper("seq").alias("seq")).select(
-        "contig", "tile", F.substring(F.col("seq"), (F.col("tile") * tile + 1).cast("int"), F.lit(tile + lap)).alias("seq")
-    )
+    """(contig, tile, seq) from whole sequences (contig, seq), in upper case: each sequence is cut once, from front to end, and a tile takes its lap from the next."""
+    parts = F.regexp_extract_all(F.upper("seq"), F.lit(f"(?s).{{1,{tile}}}"), F.lit(0))
+    cut = sequences.where(F.length("seq") > 0).select("contig", parts.alias("parts"))
+    lapped = F.expr(f"transform(parts, (x, i) -> concat(x, coalesce(substring(get(parts, i + 1), 1, {lap}), '')))")
+    return cut.select("contig", F.posexplode(lapped).alias("tile", "seq")).select("contig", F.col("tile").cast("bigint").alias("tile"), "seq")
 
 
 def sizes_of(reference: DataFrame, tile: int = TILE) -> DataFrame:
-    """(contig, size) of a tiled reference."""
+    """(contig, size) of a tiled reference; where a table of sizes is at hand, give that instead and save a scan."""
     last = F.max_by(F.col("tile") * tile + F.length("seq"), F.col("tile"))
     return reference.groupBy("contig").agg(last.cast("bigint").alias("size"))
 
@@ -64,12 +64,12 @@ def end_kmers(frags: DataFrame, reference: DataFrame, k: int = 4, both_strands:
     return _kmers(found, k, keep or [])
 
 
-def breakpoint_kmers(frags: DataFrame, reference: DataFrame, k: int = 6, both_strands: bool = True, negative_strand: bool = False, keep: list[str] | None = None) -> DataFrame:
+def breakpoint_kmers(frags: DataFrame, reference: DataFrame, k: int = 6, both_strands: bool = True, negative_strand: bool = False, keep: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(keep..., kmer): k/2 bases on each side of fragments' ends; fragments too near the start breakpoint's contig end are left out."""
     if k % 2:
         raise InvalidInputError("breakpoint motifs have an even length")
     h = k // 2
-    sized = frags.join(sizes_of(reference), "contig")
+    sized = frags.join(sizes_of(reference) if sizes is None else sizes, "contig")
     ok = (F.col("start") - h >= 0) & (F.col("start") + h < F.col("size"))
     found = _lookup(_ends(sized, k, keep or [], both_strands, negative_strand, h, ok), reference, k)
     return _kmers(found, k, keep or [])
@@ -129,9 +129,9 @@ def interval_diversity(counts: DataFrame, k: int, miller_madow: bool = False, to
     return shannon_diversity(counts, k, ["idx"], miller_madow=miller_madow, total=total)
 
 
-def gc_of(regions: DataFrame, reference: DataFrame, tile: int = TILE) -> DataFrame:
+def gc_of(regions: DataFrame, reference: DataFrame, tile: int = TILE, sizes: DataFrame | None = None) -> DataFrame:
     """(idx, gc_bases): G and C in each region; regions that aren't inside their contig count 0."""
-    sized = regions.join(sizes_of(reference), "contig")
+    sized = regions.join(sizes_of(reference) if sizes is None else sizes, "contig")
     inside = sized.where((F.col("start") >= 0) & (F.col("start") < F.col("size")) & (F.col("stop") <= F.col("size")) & (F.col("start") < F.col("stop")))
     cut = inside.select("idx", "contig", "start", "stop", F.explode(F.sequence(div(F.col("start"), tile), div(F.col("stop") - 1, tile))).alias("tile"))
     j = cut.join(reference, ["contig", "tile"])

@@ -59,12 +59,16 @@ def wps(
         events = joined.select(F.col("r_idx").alias("idx"), change.alias("e")).select("idx", "e.pos", "e.change").where("change <> 0")
         scores = running_sum(regions, events)
     else:
-        # the halves of an odd window round to even, so its ends move by turns: bases are joined to fragments outright
-        bases = positions(regions).withColumn("low", F.rint(F.col("pos") - w / 2)).withColumn("high", F.rint(F.col("pos") + w / 2 - 1))
-        pairs = bases.join(joined.select(F.col("r_idx").alias("idx"), "start", "stop"), "idx", "left")
-        across = (F.col("start") < F.col("low")) & (F.col("stop") > F.col("high"))
-        ends = F.col("start").between(F.col("low"), F.col("high")) | F.col("stop").between(F.col("low"), F.col("high"))
-        scores = pairs.groupBy("idx", "contig", "pos").agg((F.count_if(across) - F.count_if(ends)).alias("value"))
+        # the halves of an odd window round to even: with h = (w - 1) / 2 the base c sees [c - h, c + h] if c - h is even, and what c - 1 sees
+        # otherwise. So scores are summed along for windows [c - h, c + h], and every second one counts for two bases
+        h = w // 2
+        spans = b - a > w
+        change = _events((a - h, -1), (F.when(spans, a + h + 1).otherwise(b + h + 1), F.when(spans, 2).otherwise(1)), (b - h, F.when(spans, -2).otherwise(0)), (b + h + 1, F.when(spans, 1).otherwise(0)))
+        events = joined.select(F.col("r_idx").alias("idx"), change.alias("e")).select("idx", "e.pos", "e.change").where("change <> 0")
+        wider = regions.where("stop > start").select("idx", "contig", (F.col("start") - 1).alias("start"), "stop")
+        evens = running_sum(wider, events).where(F.pmod(F.col("pos") - h, F.lit(2)) == 0)
+        both = evens.select("idx", "contig", F.explode(F.array(F.col("pos"), F.col("pos") + 1)).alias("pos"), "value")
+        scores = both.join(regions.select("idx", "start", "stop"), "idx").where("pos >= start and pos < stop").select("idx", "contig", "pos", "value")
     return scores.select("contig", F.col("pos").alias("start"), F.col("value").alias("wps"), "idx")
 
 

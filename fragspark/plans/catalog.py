@@ -56,10 +56,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text")
+    tasks = spark.sparkContext.defaultParallelism
+    if d.rdd.getNumPartitions() < tasks:  # a file of few row groups would be one core's work
+        d = d.repartition(tasks, "doc_id")
     return d.select(F.col("doc_id").cast("string").alias("contig"), F.regexp_replace(F.translate("text", LETTERS, BASES), "[^ACGT]", "N").alias("seq"))
 
 
+def doc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig, size) of the documents' sequences, which are as long as their texts."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 0")
+    return d.select(F.col("doc_id").cast("string").alias("contig"), F.length("text").cast("bigint").alias("size"))
+
+
 def doc_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments on the documents' contigs; some reach past their end."""
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
@@ -408,7 +417,7 @@ UNION ALL SELECT substr(seq, stop - 2, 6), true FROM doc_frags f JOIN seqs s ON
 SELECT CASE WHEN rev THEN reverse(translate(raw, 'ACGT', 'TGCA')) ELSE raw END AS kmer, count(*) AS n FROM k0 WHERE length(raw) = 6 AND raw NOT LIKE '%N%' GROUP BY 1""", "doc_frags seqs")
 def breakpoint_motifs(spark, d):
     f = doc_fragments(spark, d).where("mapq >= 30")
-    return motifs.breakpoint_kmers(f, motifs.tiles(sequences(spark, d)), 6).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return motifs.breakpoint_kmers(f, motifs.tiles(sequences(spark, d)), 6, sizes=doc_sizes(spark, d)).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 _IJ = "fj AS (SELECT f.*, r.idx FROM doc_frags f JOIN doc_regions r ON f.contig = r.contig AND f.stop > r.start AND f.start < r.stop)"
@@ -445,7 +454,7 @@ def regional_mds_miller_madow(spark, d):
 
 @_query("SELECT r.idx, CASE WHEN r.start < length(seq) AND r.stop <= length(seq) THEN length(substr(seq, r.start + 1, r.stop - r.start)) - length(replace(replace(substr(seq, r.start + 1, r.stop - r.start), 'G', ''), 'C', '')) ELSE 0 END AS gc_bases FROM doc_regions r JOIN seqs s USING (contig)", "doc_regions seqs")
 def gc_content(spark, d):
-    return motifs.gc_of(doc_regions(spark, d), motifs.tiles(sequences(spark, d)))
+    return motifs.gc_of(doc_regions(spark, d), motifs.tiles(sequences(spark, d)), sizes=doc_sizes(spark, d))
 
 
 _DELFI = _CEN + f""", b0 AS (SELECT b.*, CASE WHEN b.stop < c0 THEN CASE WHEN sa = 1 THEN 'NOARM' ELSE replace(b.contig, 'chr', '') || 'p' END WHEN b.start > c1 THEN replace(b.contig, 'chr', '') || 'q' ELSE 'NOARM' END AS arm

@@ -268,3 +268,40 @@ def test_delfi_query_covers_whole_documents(spark, tmp_path):
         grid = np.arange(x.min(), x.max() + 0.01, 0.01)
         fixed = y - np.interp(x, grid, kernels.loess(x, y, grid, 0.75)) + np.median(y)
         assert np.allclose([r[f"{c}_corrected"] for r in whole], fixed)
+
+
+def test_merge_carries_islands_over_chunks(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), s, s + rng.randint(1, 90)) for s in (rng.randint(0, 900) for _ in range(60))] + [("c", 0, 500), ("c", 10, 20), ("c", 499, 600), ("c", 600, 610)]
+    frame = spark.createDataFrame(rows, "contig string, start bigint, stop bigint")
+    for strictly in (False, True):
+        expected = []
+        for c in "abc":
+            now = None
+            for _, s, e in sorted(r for r in rows if r[0] == c):
+                if now and (s < now[1] if strictly else s <= now[1]):
+                    now[1] = max(now[1], e)
+                else:
+                    now = [s, e]
+                    expected.append((c, now))
+        got = sorted((r.contig, [r.start, r.stop]) for r in intervals.merge(frame, strictly, chunk=16).collect())
+        assert got == sorted(expected)
+
+
+def test_tiles_cut_once_and_lap(spark):
+    seq = "acgtnACGTRYé" * 30
+    ref = {(r.contig, r.tile): r.seq for r in motifs.tiles(spark.createDataFrame([("x", seq), ("y", "a"), ("z", "")], "contig string, seq string"), 50, 7).collect()}
+    assert ref == {("x", i): seq.upper()[50 * i : 50 * i + 57] for i in range(-(-len(seq) // 50))} | {("y", 0): "A"}
+
+
+def test_semi_and_anti_count_each_fragment_once(spark):
+    frags = [("a", s, s + n, 60, True) for s, n in ((0, 100), (4090, 20), (4096, 5), (9000, 9000), (9000, 9000), (30_000, 1))]
+    regions = [("a", 4000, 4100), ("a", 4095, 12_000), ("a", 17_999, 18_001), ("b", 0, 40_000)]
+    f = spark.createDataFrame(frags, "contig string, start bigint, stop bigint, mapq int, is_forward boolean")
+    r = spark.createDataFrame(regions, "contig string, start bigint, stop bigint")
+    meets = lambda x: any(x[0] == c and x[2] > s and x[1] < e for c, s, e in regions)
+    for how in ("semi", "anti"):
+        got = sorted(tuple(x) for x in intervals.interval_join(f, r, "any", how).collect())
+        assert got == sorted(x for x in frags if meets(x) == (how == "semi"))
