@@ -547,9 +547,12 @@ def _crossing(split: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     top = sizes.groupBy("cluster", "leaf").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("all"))
     top = top.select("cluster", "leaf", F.col("m.component").alias("top"), (F.col("all") - F.col("m.count")).alias("others"))
     rows = rows.join(top, ["cluster", "leaf"]).withColumn("main", F.col("component") == F.col("top"))
-    nth = F.row_number().over(Window.partitionBy("leaf", "cluster", "main").orderBy("n", *[F.col("point")[k] for k in range(4)], "doc_id"))
-    box = F.when(F.col("main"), -1).when(F.col("others") > NODE * NODE, 0).otherwise(F.floor((nth - 1) / NODE)).cast("int")
-    rows = stored(rows.withColumn("box", box).select("doc_id", "cluster", "leaf", "box", "component", "n", "point"), "jaccard-boxes")
+    # only a few others of a leaf are numbered; the largest component, or many others, need no order
+    small = ~F.col("main") & (F.col("others") <= NODE * NODE)
+    nth = F.row_number().over(Window.partitionBy("cluster", "leaf").orderBy("n", *[F.col("point")[k] for k in range(4)], "doc_id"))
+    numbered = rows.where(small).withColumn("box", F.floor((nth - 1) / NODE).cast("int"))
+    rows = numbered.unionByName(rows.where(~small).withColumn("box", F.when(F.col("main"), -1).otherwise(0)))
+    rows = stored(rows.select("doc_id", "cluster", "leaf", "box", "component", "n", "point"), "jaccard-boxes")
     corner = F.array(*[F.max(F.col("point")[k]) for k in range(DIMENSIONS)])
     boxes = rows.groupBy("cluster", "leaf", "box").agg(corner.alias("corner"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("component"))
     a, b = boxes.alias("a"), boxes.alias("b")
