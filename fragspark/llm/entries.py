@@ -98,6 +98,20 @@ kept AS (SELECT doc_id, p, word FROM (SELECT doc_id, unnest(ws) AS word, unnest(
 texts AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM kept GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN texts USING (doc_id)"""
 
+SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, c, substr(h, 1000 * c + 1, 1798) AS p FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 400) // 500 + 1)) AS c FROM d WHERE length(h) >= 800)),
+s AS (SELECT doc_id, 500 * c + j AS i, md5_number(substr(p, 2 * j + 1, 800)) AS k FROM (SELECT doc_id, c, p, unnest(range(0, length(p) // 2 - 399)) AS j FROM parts)),
+again AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM s SEMI JOIN again USING (k)),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS fresh FROM hit)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY doc_id, g),
+sums AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS last FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS lo, a AS hi FROM spans UNION ALL SELECT doc_id, coalesce(last, 0), length(h) // 2 FROM d LEFT JOIN sums USING (doc_id)),
+texts AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS t FROM kept JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) JOIN texts USING (doc_id)"""
+
 JACCARD_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 2], ' ') END AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
@@ -110,4 +124,4 @@ SELECT w.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, least(w.do
 
 def oracle_sql() -> dict[str, str]:
     """Learned models, library tokenizers, hash orders and approximate searches are beyond SQL: tests hold those against brute force."""
-    return {"op1_substring_dedup": SUBSTRING_SQL, "op6_jaccard_join": JACCARD_SQL}
+    return {"op1_substring_dedup": SUBSTRING_SQL, "op2_suffix_dedup": SUFFIX_SQL, "op6_jaccard_join": JACCARD_SQL}
