@@ -13,10 +13,8 @@ import gzip
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fragspark.errors import InvalidInputError, UnsupportedFormatError
-from fragspark.functions.sequence import gen_kmers
 
 FRAGMENT_SUFFIXES = (".gz", ".bgz", ".tsv", ".bed", ".frag")
 
@@ -137,13 +135,3 @@ def validate_contigs(a: DataFrame, b: DataFrame, subset: bool = True, sizes: boo
     missing = a.select(*names).exceptAll(b.select(*names))
     if not missing.isEmpty() or (not subset and not b.select(*names).exceptAll(a.select(*names)).isEmpty()):
         raise ContigMismatchError(f"contigs differ: {[r[0] for r in missing.limit(5).collect()]}")
-
-
-def complete_spine(spark: SparkSession, k: int) -> DataFrame:
-    return gen_kmers(spark, k)
-
-
-def schema_of(kind: str) -> T.StructType:
-    from fragspark import schema
-
-    return getattr(schema, kind.upper())

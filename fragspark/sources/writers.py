@@ -12,11 +12,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import IO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragspark.errors import InvalidInputError, UnsupportedFormatError
-from fragspark.sources.binary import write_bigwig
+from fragspark.sources.binary import read_bam, write_bigwig
 
 
 @contextmanager
@@ -125,3 +125,23 @@ def write_fragments(frags: DataFrame, path: str, strand: bool = True) -> None:
     columns = ["contig", "start", "stop"] + (["mapq", "strand"] if strand else [])
     out = frags.withColumn("strand", F.when(F.col("is_forward"), "+").otherwise("-")) if strand else frags
     write_rows(out, path, ["contig", "start", "stop"], columns)
+
+
+def write_lengths(frame: DataFrame, path: str) -> None:
+    """A fragment's length each: 32-bit numbers in ``.bin``, or lines on standard output."""
+    rows = frame.select("length").toLocalIterator()
+    if path == "-":
+        sys.stdout.writelines(f"{r[0]}\n" for r in rows)
+    elif path.endswith(".bin"):
+        with open(path, "wb") as out:
+            for r in rows:
+                out.write(int(r[0]).to_bytes(4, "little", signed=True))
+    else:
+        raise UnsupportedFormatError("lengths go to .bin or to standard output")
+
+
+def bam_to_bed(spark: SparkSession, bam: str, path: str, quality_threshold: int = 30) -> None:
+    """The fragments of a BAM file as BED3; a failure is raised, not logged."""
+    from fragspark.operators.fragments import from_reads
+
+    write_fragments(from_reads(read_bam(spark, bam), quality_threshold), path, strand=False)
