@@ -11,10 +11,12 @@ _folders: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder named in spark.checkpoint.dir; where that is unset and all runs on one machine, as in tests, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return _folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="checkpoint"))
 
 

@@ -70,6 +70,14 @@ def test_run_and_entries(spark, folder):
     assert set(entries.oracle_sql()) <= set(entries.queries())
 
 
+def test_near_duplicates_keep_each_text_of_an_id_once(spark, folder):
+    path, _ = folder
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, None), (3, None), (None, a), (None, a), (4, "")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), path).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (1, b), (3, None), (None, a), (None, a), (4, "")], key=str)
+
+
 def test_repeated_passages_of_over_50_words_go(spark, folder):
     path, _ = folder
     rng = random.Random(5)

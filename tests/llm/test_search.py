@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -42,6 +43,37 @@ def test_jaccard_components(docs, rows, width, percent, leaf, monkeypatch):
     assert got == jaccard_brute(rows, width, percent)
 
 
+TABLE = Path("/root/testdata/sf0.01/documents.parquet")
+
+
+@pytest.mark.skipif(not TABLE.exists(), reason="needs the test tables")
+def test_jaccard_components_of_the_test_table(spark):
+    table = spark.read.parquet(str(TABLE))
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    sets = {}
+    for i, text in rows:
+        w = words(text, lower=True)
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    holders = defaultdict(list)
+    for i, own in sets.items():
+        for x in own:
+            holders[x].append(i)
+    up = {i: i for i in sets}
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i, own in sets.items():
+        for j, both in Counter(j for x in own for j in holders[x] if j < i).items():
+            if 100 * both >= 80 * (len(own) + len(sets[j]) - both):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op6_jaccard_join.jaccard_components(table, 5, 80).collect()}
+    assert got == {i: (len(own), root(i)) for i, own in sets.items()}
+
+
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(4)
     for size, lopsided in [(n, False) for n in (1, 2, 3, 4, 5, 6, 9, 10, 11, 19, 20, 40, 100, 333)] + [(n, True) for n in (4, 8, 20, 60, 200)]:
