@@ -12,7 +12,8 @@ more groups than two linked sets can differ in elements, any link leaves at leas
 group of both sets equal. Signatures of these groups meet in shards. A set that has elements in more
 groups than it may differ in needs no signature of an empty group, and there are enough groups that nearly every set has:
 an empty group says nothing, and its signature would bring all sets together. Documents of a signature meet as points: an R-tree join of
-the bucket keeps those pairs whose bound admits a link. A signature that too many share for one task
+the bucket keeps those pairs whose bound admits a link. In a few groups all large sets look alike, so those pairs are bounded once more by
+bitmaps, which tell of as many groups as a set has elements whether they hold any. A signature that too many share for one task
 brings its documents together without that test. The pairs make the clusters within which all links lie.
 
 Clusters are packed, and large ones split, into leaves of bounded size in order of their points; a task joins one leaf, and a few documents of
@@ -49,6 +50,10 @@ LEAF_BYTES = 16 << 20
 #: A signature that more documents of one batch share, or more of all, brings them together without a look at their points.
 HOT, WIDE = 64, 4096
 HUBS = 16
+#: Documents with points and bitmaps that meet in a task, counted once for every bucket.
+MEET_BYTES = 64 << 20
+#: Groups of a bitmap at most, 1 kB: it travels with every bucket of its set. Larger sets are told apart less well, and still verified.
+WIDEST = 8192
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 RATIO = 1.5
@@ -151,8 +156,51 @@ def unpacked_points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return out * np.ascontiguousarray(data[:, :4]).view("<u4").astype(np.int64)
 
 
-READ_SQL = "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, point binary, dst bigint, data binary"
-READ = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("point", pa.binary()), ("dst", pa.int64()), ("data", pa.binary())])
+def bitmaps(keys: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Which groups of a set hold elements, of the least power of two of groups that reaches its size (64 at least, WIDEST at most)."""
+    sizes = np.diff(offs)
+    groups = np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(groups)])
+    held = np.zeros(base[-1], dtype=bool)
+    held[np.repeat(base[:-1], sizes) + (keys & np.repeat(groups - 1, sizes).astype(np.uint64)).astype(np.int64)] = True
+    data = np.packbits(held, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+class Bitmaps:
+    """Bitmaps of sets by their widths. A set's groups fold to half as many; as far as that is how much two linked sets' widths differ."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array) -> None:
+        buf, offs = T.buffers(column)
+        self.width = np.diff(offs)  # in bytes
+        self.own, self.folded = np.zeros(len(self.width), np.int64), np.zeros(len(self.width), np.int64)
+        self.rows = {}
+        for w in np.unique(self.width).tolist():
+            own, wider = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            half = buf[offs[wider, None] + np.arange(2 * w)]
+            self.rows[w] = np.concatenate([buf[offs[own, None] + np.arange(w)], half[:, :w] | half[:, w:]]).view(np.uint64)
+            self.own[own], self.folded[wider] = np.arange(len(own)), len(own) + np.arange(len(wider))
+
+    def may_link(self, size: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the pairs (a[i], b[i]) may link: elements in groups that the other set has none in aren't shared."""
+        ok = np.ones(len(a), dtype=bool)
+        least = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(least).tolist():
+            at = np.flatnonzero((least == w) & (np.maximum(self.width[a], self.width[b]) <= 2 * w))
+            step = max(1, (4 << 20) // w)
+            for i in range(0, len(at), step):
+                p = at[i : i + step]
+                x, y = (self.rows[w][np.where(self.width[e[p]] == w, self.own[e[p]], self.folded[e[p]])] for e in (a, b))
+                both = np.minimum(size[a[p]] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), size[b[p]] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+                ok[p] = (100 + percent) * both >= percent * (size[a[p]] + size[b[p]])
+        return ok
+
+
+READ_SQL = "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, point binary, bits binary, dst bigint, data binary"
+READ = pa.schema([
+    ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("point", pa.binary()),
+    ("bits", pa.binary()), ("dst", pa.int64()), ("data", pa.binary()),
+])
 #: Kinds of rows: a document; a message to a shard; an edge (doc_id, n) between two documents; a document of a bucket (k1).
 DOCUMENT, SENT, EDGE, MEMBER = range(4)
 
@@ -186,7 +234,7 @@ def _read(width: int, percent: int, shards: int, bits: int, most: int):
                 empty = sizes == 0
                 yield _rows(
                     DOCUMENT, doc_id=ids[i:j], n=pa.array(sizes), k1=pa.array(first[i:j], mask=empty), k2=pa.array(second[i:j], mask=empty),
-                    point=packed_points(points(keys, at)), dst=pa.array(np.full(j - i, own)),
+                    point=packed_points(points(keys, at)), bits=bitmaps(keys, at), dst=pa.array(np.full(j - i, own)),
                 )
                 told = np.where(known[i:j], sizes, 0)
                 sig, row = signatures(keys[np.repeat(told > 0, sizes)], np.concatenate([[0], np.cumsum(told)]), percent)
@@ -303,10 +351,12 @@ def _meet(percent: int):
     """Of the documents of each bucket, the pairs that may link, as a forest."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, place = np.unique(table.column("doc_id").to_numpy(), return_inverse=True)
+        ids, first, place = np.unique(table.column("doc_id").to_numpy(), return_index=True, return_inverse=True)
+        fine = Bitmaps(table.column("bits").take(pa.array(first)))
         size, point = np.zeros(len(ids), np.int64), np.zeros((len(ids), DIMENSIONS), np.int64)
         size[place], point[place] = table.column("n").to_numpy(), unpacked_points(table.column("point"))
-        bucket = table.column("bucket").to_numpy()
+        buckets = table.column("buckets").combine_chunks()
+        bucket, place = buckets.flatten().to_numpy(), np.repeat(place, buckets.value_lengths().to_numpy())
         by = np.lexsort((place, bucket))
         bucket, place = bucket[by], place[by]
         head = np.flatnonzero(np.append([True], bucket[1:] != bucket[:-1]))
@@ -321,6 +371,8 @@ def _meet(percent: int):
                     pairs = np.unique(rows[:, i].ravel() * len(ids) + rows[:, j].ravel())
                     u, v = pairs // len(ids), pairs % len(ids)
                     ok = may_link(point, size, u, v, percent)
+                    u, v = u[ok], v[ok]
+                    ok = fine.may_link(size, u, v, percent)
                     a.append(u[ok])
                     b.append(v[ok])
                 continue
@@ -336,6 +388,8 @@ def _meet(percent: int):
                     i, j = np.repeat(i, len(j)), np.tile(j, len(i))
                     ok = may_link(point, size, rows[i], rows[j], percent) & (i < j)
                     i, j = i[ok], j[ok]
+                    ok = fine.may_link(size, rows[i], rows[j], percent)
+                    i, j = i[ok], j[ok]
                     if len(i):
                         old = np.unique(label[np.concatenate([i, j])])
                         new = old[unite(np.searchsorted(old, label[i]), np.searchsorted(old, label[j]), len(old))]
@@ -575,19 +629,20 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     bits = min(64, int(max(size, 1 << 16)).bit_length() + 8)  # of signatures; two that agree by chance only meet in vain
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     read = stored(texts.mapInArrow(_read(width, percent, shards, bits, HOT), READ_SQL).groupBy("dst").applyInArrow(_buckets(WIDE), READ_SQL), "jaccard")
-    info = read.where(F.col("kind") == DOCUMENT).select("doc_id", "n", "k1", "k2", "point")
+    info = read.where(F.col("kind") == DOCUMENT).select("doc_id", "n", "k1", "k2", "point", "bits")
     classes = info.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = info.join(classes, ["k1", "k2"]).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "point")
-    buckets = read.where(F.col("kind") == MEMBER).select("doc_id", F.col("k1").alias("bucket")).distinct()
-    met = read.where(F.col("kind") == MEMBER).count()
-    parts = max(8, -(-met * 128 // LEAF_BYTES))
-    # a bucket's documents by their points; equal sets meet as classes, so only the representatives' count
-    placed = buckets.join(reps, "doc_id").select("bucket", "doc_id", "n", "point", F.expr(f"cast(pmod(bucket, {parts}) as int)").alias("part"))
+    reps = info.join(classes, ["k1", "k2"]).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "point", "bits")
+    often = read.where(F.col("kind") == MEMBER).groupBy("doc_id").agg(F.count(F.lit(1)).alias("often"))
+    met = often.join(reps.select("doc_id", F.length("bits").alias("bits")), "doc_id").agg(F.sum(F.expr("often * (128 + bits)"))).first()[0] or 0
+    parts = max(8, -(-int(met) // MEET_BYTES))
+    # a bucket's documents by their points; equal sets meet as classes, so only the representatives' count. A task gets a document once, with its buckets there
+    member = read.where(F.col("kind") == MEMBER).select("doc_id", F.col("k1").alias("bucket"), F.expr(f"cast(pmod(k1, {parts}) as int)").alias("part"))
+    placed = member.repartition("doc_id").groupBy("doc_id", "part").agg(F.collect_set("bucket").alias("buckets")).join(reps, "doc_id")
     near = placed.groupBy("part").applyInArrow(_meet(percent), "u bigint, v bigint")
     hot = read.where(F.col("kind") == EDGE).select(F.col("doc_id").alias("u"), F.col("n").alias("v"))
     clusters = components(near.unionByName(hot))
 
-    members = reps.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    members = reps.drop("bits").join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     load = members.agg(F.sum(F.greatest(F.col("n") * 8, F.lit(8192)))).first()[0] or 0
     parts = max(1, -(-int(load) // LEAF_BYTES))
     order = ["cluster", "n", "point", "doc_id"]

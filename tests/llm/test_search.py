@@ -106,6 +106,24 @@ def test_packed_points_bound_the_counts():
     assert (again >= point).all() and (again - point <= -(-point.max(axis=1) // 15)[:, None]).all()
 
 
+def test_bitmaps_exclude_no_link_and_most_others():
+    rng = np.random.default_rng(17)
+    for size in (1, 3, 60, 64, 65, 127, 300, 2000, 9000):
+        sets = [np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))]
+        for share in (1, 0.99, 0.95, 0.9, 0.85, 0.3, 0):
+            kept = sets[0][rng.random(len(sets[0])) < share]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**64, max(1, size) - int(len(kept) * rng.uniform(0.9, 1)), dtype=np.uint64)])))
+        n = np.array([len(s) for s in sets])
+        fine = op6_jaccard_join.Bitmaps(op6_jaccard_join.bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])))
+        a, b = np.triu_indices(len(sets), 1)
+        both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)])
+        link = 180 * both >= 80 * (n[a] + n[b])
+        may = fine.may_link(n, a, b, 80)
+        assert may[link].all()
+        if 300 <= size <= 2000:
+            assert not may[b == len(sets) - 1].any()
+
+
 @pytest.mark.parametrize("hot,wide,leaf", [(1, 4096, 40_000), (64, 3, 200_000), (64, 4096, 1 << 20)])
 def test_large_groups_of_near_copies_and_hot_passages(spark, hot, wide, leaf, monkeypatch):
     monkeypatch.setattr(op6_jaccard_join, "LEAF_BYTES", leaf)
