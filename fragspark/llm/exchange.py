@@ -15,6 +15,7 @@ block documents are ordered by (id, text), so every pass sees the same order.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,17 +75,43 @@ def ordered(table: pa.Table) -> pa.Table:
     return table.take(order)
 
 
+def release() -> None:
+    """Gives back to the system what this process has freed; Python workers outlive their tasks, beside those of the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        out = fn(table)
+        release()
+        return out
+
+    return run
+
+
+def releasing_both(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out = fn(table, answers)
+        release()
+        return out
+
+    return run
+
+
 def by_block(blocks: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    return blocks.groupBy("block").applyInArrow(fn, schema)
+    return blocks.groupBy("block").applyInArrow(releasing(fn), schema)
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """fn(block's documents, messages to it); blocks without messages get an empty table."""
-    return blocks.groupBy("block").cogroup(answers.groupBy("dst")).applyInArrow(fn, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("dst")).applyInArrow(releasing_both(fn), schema)
 
 
 def by_shard(sent: DataFrame, fn: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return sent.groupBy("dst").applyInArrow(fn, MESSAGE_SQL)
+    return sent.groupBy("dst").applyInArrow(releasing(fn), MESSAGE_SQL)
 
 
 def shard_count(blocks: int, blocks_each: int) -> int:

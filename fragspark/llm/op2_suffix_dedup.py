@@ -93,7 +93,7 @@ class _Block:
 
 def _ask(length: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
-        block, src = _Block(table, length), table.column("block")[0].as_py()
+        block, src = _Block(table.select(["id", "text"]), length), table.column("block")[0].as_py()
         cuts = X.shard_bounds(block.keys, 64, shards)
         return X.messages([(s, src, 0, T.pack_sorted(block.keys[cuts[s] : cuts[s + 1]])) for s in np.flatnonzero(np.diff(cuts)).tolist()])
 
@@ -104,7 +104,7 @@ def _send(length: int, shards: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return X.NO_MESSAGES
-        block, src = _Block(table, length), table.column("block")[0].as_py()
+        block, src = _Block(table.select(["id", "text"]), length), table.column("block")[0].as_py()
         cuts = X.shard_bounds(block.keys, 64, shards)
         for _, s, _, data in X.read(answers):
             block.many[cuts[s] : cuts[s + 1]] |= X.bits(data, cuts[s + 1] - cuts[s])
@@ -225,24 +225,27 @@ def _remove(length: int, shards: int, schema: pa.Schema, words: int | None, sure
             if words is not None:
                 hit[starts] = True
                 continue
-            cover[: n + 1] += np.bincount(starts, minlength=n + 1).astype(np.int32)
-            cover[: n + 1] -= np.bincount(starts + length, minlength=n + 1).astype(np.int32)
+            np.add.at(cover, starts, 1)
+            np.subtract.at(cover, starts + length, 1)
         if words is not None:
             begins, ends = long_runs(hit, block.buf, offs, length, words, sure)
-            cover += np.bincount(begins, minlength=n + 1).astype(np.int32) - np.bincount(ends, minlength=n + 1).astype(np.int32)
-        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+            np.add.at(cover, begins, 1)
+            np.subtract.at(cover, ends, 1)
+        gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         begins[offs[:-1][offs[:-1] < n]] = gone[offs[:-1][offs[:-1] < n]]
-        sums, spans = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(begins)])
+        held = np.flatnonzero(gone)
+        sums, spans = np.searchsorted(held, offs), np.searchsorted(np.flatnonzero(begins), offs)
         data, texts, hashes = block.buf.tobytes(), [], []
-        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-            left = data[a:b] if sums[a] == sums[b] else block.buf[a:b][~gone[a:b]].tobytes()
+        for a, b, whole in zip(offs[:-1].tolist(), offs[1:].tolist(), (sums[:-1] == sums[1:]).tolist()):
+            left = data[a:b] if whole else block.buf[a:b][~gone[a:b]].tobytes()
             hashes.append(hashlib.sha256(left).hexdigest())
             texts.append(left.decode("utf-8", "ignore"))
-        columns = [block.table.column("id"), pa.array(np.diff(offs)), pa.array(sums[offs[1:]] - sums[offs[:-1]]), pa.array(spans[offs[1:]] - spans[offs[:-1]]), pa.array(hashes)]
+        columns = [block.table.column("id"), pa.array(np.diff(offs)), pa.array(np.diff(sums)), pa.array(np.diff(spans)), pa.array(hashes)]
         if "kept_text" in schema.names:
-            columns += [pa.array(texts), block.table.column("row")]
+            null = block.table.column("text").is_null().to_numpy()
+            columns += [pa.array(texts, pa.string(), mask=null), block.table.column("row")]
         return pa.table(columns, schema=pa.schema([(n, c.type) for n, c in zip(schema.names, columns)]))
 
     return run
@@ -254,7 +257,7 @@ def suffix_dedup(
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text, row]), a row for every row of ``docs``.
 
-    With ``carry``, ``kept_text`` is what is left (bytes of a character that was cut in two go) and ``row`` holds the carried columns.
+    With ``carry``, ``kept_text`` is what is left (bytes of a character that was cut in two go; null where the text is) and ``row`` holds the carried columns.
     With ``words``, strings of ``length`` bytes that are repeated at consecutive starts make a run, and only runs of more than ``words`` whole words
     or of at least ``sure`` bytes go.
     """

@@ -50,6 +50,8 @@ LEAF_BYTES = 16 << 20
 #: A signature that more documents of one batch share, or more of all, brings them together without a look at their points.
 HOT, WIDE = 64, 4096
 HUBS = 16
+#: Pairs whose points are compared at a time.
+STEP = 1 << 14
 #: Documents with points and bitmaps that meet in a task, counted once for every bucket.
 MEET_BYTES = 64 << 20
 #: Groups of a bitmap at most, 1 kB: it travels with every bucket of its set. Larger sets are told apart less well, and still verified.
@@ -272,6 +274,7 @@ def _read(width: int, percent: int, shards: int, bits: int, most: int):
                 data = [_packed(*(x[cuts[s] : cuts[s + 1]] for x in (sig, number, many))) for s in parts]
                 yield _rows(SENT, dst=pa.array(parts, pa.int64()), data=pa.array(data, pa.binary()))
             own -= 1
+        X.release()
 
     return run
 
@@ -341,8 +344,8 @@ def may_link(point: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray,
     """Whether the bounds of the pairs (a[i], b[i]) admit a link."""
     ok = (100 * size[a] >= percent * size[b]) & (100 * size[b] >= percent * size[a])
     live = np.flatnonzero(ok)
-    for i in range(0, len(live), 1 << 16):
-        p = live[i : i + (1 << 16)]
+    for i in range(0, len(live), STEP):
+        p = live[i : i + STEP]
         ok[p] = (100 + percent) * np.minimum(point[a[p]], point[b[p]]).sum(axis=1) >= percent * (size[a[p]] + size[b[p]])
     return ok
 
@@ -453,8 +456,8 @@ def joined_boxes(a: Tree, b: Tree, percent: int) -> tuple[np.ndarray, np.ndarray
             i, j = i[keep], j[keep]
         keep = (ca[3][i] <= cb[4][j]) & (cb[3][j] <= ca[4][i]) & (100 * ca[2][i] >= percent * cb[1][j]) & (100 * cb[2][j] >= percent * ca[1][i])
         i, j = i[keep], j[keep]
-        for s in range(0, len(i), 1 << 16):
-            p = slice(s, s + (1 << 16))
+        for s in range(0, len(i), STEP):
+            p = slice(s, s + STEP)
             bound = np.minimum(ca[0][i[p]], cb[0][j[p]]).sum(axis=1)
             keep[: len(i)][p] = (100 + percent) * bound >= percent * (ca[1][i[p]] + cb[1][j[p]])
         keep = keep[: len(i)]
@@ -557,6 +560,7 @@ def _sets(width: int):
                 data = pa.array([keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.record_batch([batch.column(0)[i:j], batch.column(2)[i:j], batch.column(3)[i:j], data], names=["doc_id", "cluster", "tasks", "data"])
                 i = j
+        X.release()
 
     return run
 
@@ -585,7 +589,7 @@ def _verified(texts: DataFrame, tasks: DataFrame, width: int, percent: int) -> D
     chosen = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cluster", "tasks")
     sets = chosen.mapInArrow(_sets(width), "doc_id bigint, cluster bigint, tasks array<struct<side:int,task:string>>, data binary")
     sent = sets.select("doc_id", "cluster", "data", F.explode("tasks").alias("t")).select("t.task", "t.side", "doc_id", "cluster", "data")
-    return stored(sent.groupBy("task").applyInArrow(_verify(percent), "u bigint, v bigint"), "jaccard-links")
+    return stored(sent.groupBy("task").applyInArrow(X.releasing(_verify(percent)), "u bigint, v bigint"), "jaccard-links")
 
 
 def _crossing(split: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -628,7 +632,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     shards, _, size = X.block_count(docs, block_bytes, text_col)
     bits = min(64, int(max(size, 1 << 16)).bit_length() + 8)  # of signatures; two that agree by chance only meet in vain
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    read = stored(texts.mapInArrow(_read(width, percent, shards, bits, HOT), READ_SQL).groupBy("dst").applyInArrow(_buckets(WIDE), READ_SQL), "jaccard")
+    read = stored(texts.mapInArrow(_read(width, percent, shards, bits, HOT), READ_SQL).groupBy("dst").applyInArrow(X.releasing(_buckets(WIDE)), READ_SQL), "jaccard")
     info = read.where(F.col("kind") == DOCUMENT).select("doc_id", "n", "k1", "k2", "point", "bits")
     classes = info.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps = info.join(classes, ["k1", "k2"]).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "point", "bits")
@@ -638,7 +642,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     # a bucket's documents by their points; equal sets meet as classes, so only the representatives' count. A task gets a document once, with its buckets there
     member = read.where(F.col("kind") == MEMBER).select("doc_id", F.col("k1").alias("bucket"), F.expr(f"cast(pmod(k1, {parts}) as int)").alias("part"))
     placed = member.repartition("doc_id").groupBy("doc_id", "part").agg(F.collect_set("bucket").alias("buckets")).join(reps, "doc_id")
-    near = placed.groupBy("part").applyInArrow(_meet(percent), "u bigint, v bigint")
+    near = placed.groupBy("part").applyInArrow(X.releasing(_meet(percent)), "u bigint, v bigint")
     hot = read.where(F.col("kind") == EDGE).select(F.col("doc_id").alias("u"), F.col("n").alias("v"))
     clusters = components(near.unionByName(hot))
 
