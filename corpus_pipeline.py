@@ -44,8 +44,10 @@ PASSAGE_WORDS = 50
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated runs of more than 50 words, and those of 400 bytes or more, out of the texts. Every row stays; a null text stays null, and a text that goes whole is empty."""
     ship(spark)
-    found = op2_suffix_dedup.suffix_dedup(docs, length=2 * PASSAGE_WORDS + 1, carry=docs.columns, words=PASSAGE_WORDS)
-    left = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept_text")), "n_chars": F.length("kept_text").cast("bigint")}
+    # the text travels once: what is left of it takes its place
+    carry = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = op2_suffix_dedup.suffix_dedup(docs, length=2 * PASSAGE_WORDS + 1, carry=carry, words=PASSAGE_WORDS)
+    left = {"text": F.col("kept_text"), "n_chars": F.coalesce(F.length("kept_text"), F.lit(0)).cast("bigint")}
     return found.select(*[left.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
