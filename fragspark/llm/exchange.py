@@ -85,6 +85,7 @@ def release() -> None:
 
 def releasing(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        release()
         out = fn(table)
         release()
         return out
@@ -94,6 +95,7 @@ def releasing(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Tab
 
 def releasing_both(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         out = fn(table, answers)
         release()
         return out

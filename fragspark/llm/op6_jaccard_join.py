@@ -550,17 +550,20 @@ def links(keys: np.ndarray, offs: np.ndarray, cluster: np.ndarray, side: np.ndar
 
 
 def _sets(width: int):
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        buf, offs = T.buffers(batch.column(1))
+        i = 0
+        while i < len(offs) - 1:
+            j = max(i + 1, int(np.searchsorted(offs, offs[i] + (2 << 20), "right")) - 1)
+            keys, at = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
+            data = pa.array([keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.record_batch([batch.column(0)[i:j], batch.column(2)[i:j], batch.column(3)[i:j], data], names=["doc_id", "cluster", "tasks", "data"])
+            i = j
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = T.buffers(batch.column(1))
-            i = 0
-            while i < len(offs) - 1:
-                j = max(i + 1, int(np.searchsorted(offs, offs[i] + (2 << 20), "right")) - 1)
-                keys, at = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
-                data = pa.array([keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-                yield pa.record_batch([batch.column(0)[i:j], batch.column(2)[i:j], batch.column(3)[i:j], data], names=["doc_id", "cluster", "tasks", "data"])
-                i = j
-        X.release()
+            yield from one(batch)
+            X.release()
 
     return run
 

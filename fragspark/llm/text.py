@@ -22,7 +22,7 @@ BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 OTHER_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers: dict[str, np.ndarray] = {}
 
