@@ -6,7 +6,8 @@ distinct bigrams with training counts to the shard of the first token, and with
 shard builds one trie (elias_fano.py) of tokens, bigrams and trigrams, with absolutely discounted
 probabilities quantised to a byte, and answers out of the trie: a block's bigrams are found once, and their places
 are the contexts in which the third tokens are searched. A frequent first token is split by the second over as many shards as
-it has shares of the corpus, and a frequent bigram by the third token, the further parts in tries of their own. Blocks
+it has shares of the corpus, and a frequent bigram by the third token, the further parts in tries of their own. A shard
+takes its bigrams in sorted ranges, a trie each, so its memory is that of a range and the messages. Blocks
 then score their documents. No part of the model is held whole anywhere; what is
 gathered grows with the corpus, and the trie's shards are bounded by the share of keys they own.
 
@@ -36,6 +37,8 @@ from fragspark.llm.op6_jaccard_join import LOWER
 END = np.uint64(0x3C79AC492BA7B653)
 START = np.uint64(0x1C69B3F74AC4AE35)
 DISCOUNT = 0.75
+#: Pairs and trigrams that a shard takes at a time, and pairs between those that may begin the next.
+LOAD, EVERY = 1 << 19, 64
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bigram_score double"
 
 
@@ -46,12 +49,13 @@ def _planes(values: np.ndarray) -> bytes:
     return bytes([width]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _values(data: bytes) -> np.ndarray:
+def _values(data: bytes, first: int = 0, end: int | None = None) -> np.ndarray:
+    """The numbers of ``_planes``, or those from place ``first`` up to ``end``."""
     width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)[:, first:end]
     out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
     out[:, :width] = planes.T
-    return out.view("<u8").ravel().astype(np.int64)
+    return out.view("<u8").ravel().astype(np.int64, copy=False)
 
 
 def _with_length(parts: list[bytes]) -> bytes:
@@ -250,50 +254,112 @@ def _summed(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, np.bincount(number, counts, len(keys)).astype(np.int64)
 
 
+class _Asked:
+    """A block's message about pairs and trigrams: all are sorted, and numbers by pair and by trigram stay packed until a step takes them."""
+
+    def __init__(self, data: bytes) -> None:
+        head, packed, seen, pairs, self.lasts, self.counts, self.follow, self.thirds, self.trigrams, split = _parts(data, 10)
+        self.span = int(np.frombuffer(head, np.int64)[0])
+        self.contexts, self.seen, self.split = T.unpack_sorted(packed), _values(seen), _values(split)
+        self.tops = np.concatenate([[0], np.cumsum(_values(pairs))])
+        self.size = int(self.tops[-1])
+
+    def steps(self, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every so many pairs, the pair's context and last token, and what these pairs and their trigrams are."""
+        at = np.arange(0, self.size, every)
+        load = np.add.reduceat(_values(self.follow) + 1, at) if self.size else at
+        return self.contexts[np.searchsorted(self.tops, at, "right") - 1], _values(self.lasts)[at], load
+
+    def cut(self, bounds: list[tuple[int, int]]) -> None:
+        """Sets the places where pairs, and their trigrams, from each (context, last token) on begin."""
+        lasts, cuts = _values(self.lasts), [0]
+        for context, last in bounds:
+            i = int(np.searchsorted(self.contexts, np.uint64(context)))
+            low = high = int(self.tops[i])
+            if i < len(self.contexts) and int(self.contexts[i]) == context:
+                high = int(self.tops[i + 1])
+            cuts.append(low + int(np.searchsorted(lasts[low:high], last)))
+        self.cuts = np.array([*cuts, self.size], dtype=np.int64)
+        self.under = np.concatenate([[0], np.cumsum(_values(self.follow))])[self.cuts]
+        self.found: list[list[np.ndarray]] = [[], [], [], [], []]
+
+
+def _bounds(asked: list[_Asked]) -> list[tuple[int, int]]:
+    """Pairs (context, last token) that part all messages' pairs and trigrams into loads of about LOAD."""
+    context, last, load = (np.concatenate(x) for x in zip(*(a.steps(EVERY) for a in asked)))
+    order = np.lexsort((last, context))
+    step = np.cumsum(load[order]) // LOAD
+    at = order[np.flatnonzero(np.diff(step, prepend=0))]
+    return sorted(set(zip(context[at].tolist(), last[at].tolist())))
+
+
 def _near_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
-    """Codes of pairs and trigrams, fan-outs of contexts, back-off codes of pairs; of frequent pairs the fan-out and size of this part."""
+    """Codes of pairs and trigrams, fan-outs of contexts, back-off codes of pairs; of frequent pairs the fan-out and size of this part.
+
+    A range of pairs after another, each with a trie of its own, so that memory is bounded by a range and not by the shard.
+    """
     if not sent:
         return []
-    rows, span = [], 1
-    for *_, data in sent:
-        head, packed, *planes = _parts(data, 10)
-        span = int(np.frombuffer(head, np.int64)[0])
-        rows.append([T.unpack_sorted(packed), *(_values(p) for p in planes)])
-    contexts, at = np.unique(np.concatenate([r[0] for r in rows]), return_index=True)
-    seen = np.concatenate([r[1] for r in rows])[at]
-    most = max(len(contexts), sum(len(r[3]) for r in rows)) + 1
-    (lasts, thirds), span = _numbered([[r[3] for r in rows], [r[6] for r in rows]], span, most)
-    firsts = [np.repeat(np.searchsorted(contexts, r[0]), r[2]) for r in rows]
-    pairs, counts = _summed(np.concatenate([f * span + last for f, last in zip(firsts, lasts)]), np.concatenate([r[4] for r in rows]))
+    asked = [_Asked(data) for *_, data in sent]
+    contexts, at = np.unique(np.concatenate([a.contexts for a in asked]), return_index=True)
+    seen = np.concatenate([a.seen for a in asked])[at]
+    bounds = _bounds(asked)
+    for a in asked:
+        a.cut(bounds)
+    fans = np.zeros(len(contexts), np.int64)
+    for k in range(len(bounds) + 1):
+        _near_range(asked, k, contexts, seen, fans)
+    out = []
+    for (dst, src, *_), a in zip(sent, asked):
+        second, third, back, split_fans, split_sizes = (np.concatenate(f) for f in a.found)
+        body = [second.tobytes(), _planes(fans[np.searchsorted(contexts, a.contexts)]), third.tobytes(), back.tobytes(), _planes(split_fans), _planes(split_sizes)]
+        out.append((src, dst, 1, _with_length(body)))
+    return out
+
+
+def _near_range(asked: list[_Asked], k: int, contexts: np.ndarray, seen: np.ndarray, fans: np.ndarray) -> None:
+    """Answers about the pairs of range ``k``, added to what each message has ``found``; their number is added to the contexts' ``fans``."""
+    every = lambda parts: np.concatenate(list(parts))
+    edges = np.concatenate([[0], np.cumsum([a.cuts[k + 1] - a.cuts[k] for a in asked])])
+    tops = np.concatenate([[0], np.cumsum([a.under[k + 1] - a.under[k] for a in asked])])
+    firsts = every(np.repeat(np.searchsorted(contexts, a.contexts), np.diff(np.clip(a.tops, a.cuts[k], a.cuts[k + 1]))) for a in asked)
+    low, high = (int(firsts.min()), int(firsts.max()) + 1) if len(firsts) else (0, 0)
+    firsts -= low
+    part = lambda name, cuts: every(_values(getattr(a, name), cuts(a)[k], cuts(a)[k + 1]) for a in asked)
+    by_pair, by_trigram = (lambda a: a.cuts), (lambda a: a.under)
+    lasts, thirds, follow = part("lasts", by_pair), part("thirds", by_trigram), part("follow", by_pair)
+    most = max(high - low, len(firsts)) + 1
+    [[lasts], [thirds]], span = _numbered([[lasts], [thirds]], asked[0].span, most)
+    pairs, counts = _summed(firsts * span + lasts, part("counts", by_pair))
     context = pairs // span
-    second = (context, pairs % span, quantise((counts - DISCOUNT) / np.maximum(seen[context], 1)))
+    second = (context, pairs % span, quantise((counts - DISCOUNT) / np.maximum(seen[low:high][context], 1)))
     # a trigram of training has its pair in training
-    places = [np.repeat(np.minimum(np.searchsorted(pairs, f * span + last), max(0, len(pairs) - 1)), r[5]) for f, last, r in zip(firsts, lasts, rows)]
-    found, counts = _summed(np.concatenate([p * span + w for p, w in zip(places, thirds)]), np.concatenate([r[7] for r in rows]))
-    del places
+    place = np.minimum(np.searchsorted(pairs, firsts * span + lasts), max(0, len(pairs) - 1))
+    n = len(pairs)
+    del pairs, counts
+    found, counts = _summed(np.repeat(place, follow) * span + thirds, part("trigrams", by_trigram))
+    del place
     context = found // span
-    sizes = np.append(np.bincount(context, counts, len(pairs)).astype(np.int64), 0)  # the last one for pairs out of training
-    trie = Trie.mapped(Trie.levels(contexts, second, (context, found % span, quantise((counts - DISCOUNT) / sizes[context]))))
-    del second, found, counts, context, pairs
+    sizes = np.append(np.bincount(context, counts, n).astype(np.int64), 0)  # the last one for pairs out of training
+    levels = Trie.levels(contexts[low:high], second, (context, found % span, quantise((counts - DISCOUNT) / sizes[context])))
+    del second, found, counts, context
+    trie = Trie.mapped(levels)
+    del levels
     # all messages are answered at once: the trie is decoded a level at a time, however many blocks ask
-    every = lambda parts: np.concatenate(list(parts))
-    root = trie.tokens.find(every(r[0] for r in rows))
-    pair = trie.child(0, root, every(lasts), every(r[2] for r in rows))
-    follow = every(r[5] for r in rows)
+    fans[low:high] += trie.fan_out(0, np.arange(high - low))
+    pair = trie.child(0, firsts, lasts)
+    del firsts, lasts
     used = pair[follow > 0]
-    third = trie.code(1, trie.child(1, used, every(thirds), follow[follow > 0]))
-    size, fan = sizes[used], trie.fan_out(1, used)
-    back = quantise(DISCOUNT * fan / np.maximum(size, 1))
-    second, fans = trie.code(0, pair), trie.fan_out(0, root)
-    cuts = [np.concatenate([[0], np.cumsum([len(x) for x in parts])]) for parts in ([r[0] for r in rows], lasts, thirds)]
-    most = np.concatenate([[0], np.cumsum(follow > 0)])[cuts[1]]
-    out = []
-    for i, ((dst, src, *_), r) in enumerate(zip(sent, rows)):
-        own, w, u = (slice(c[i], c[i + 1]) for c in (cuts[1], cuts[2], most))
-        split = pair[own][r[8]]
-        body = [second[own].tobytes(), _planes(fans[cuts[0][i] : cuts[0][i + 1]]), third[w].tobytes(), back[u].tobytes(), _planes(trie.fan_out(1, split)), _planes(sizes[split])]
-        out.append((src, dst, 1, _with_length(body)))
-    return out
+    third = trie.code(1, trie.child(1, used, thirds, follow[follow > 0]))
+    del thirds
+    back = quantise(DISCOUNT * trie.fan_out(1, used) / np.maximum(sizes[used], 1))
+    second = trie.code(0, pair)
+    uses = np.concatenate([[0], np.cumsum(follow > 0)])[edges]
+    for i, a in enumerate(asked):
+        split = pair[edges[i] + a.split[slice(*np.searchsorted(a.split, a.cuts[k : k + 2]))] - a.cuts[k]]
+        own = second[edges[i] : edges[i + 1]], third[tops[i] : tops[i + 1]], back[uses[i] : uses[i + 1]], trie.fan_out(1, split), sizes[split]
+        for parts, x in zip(a.found, own):
+            parts.append(x.copy())
 
 
 def _far_answers(sent: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:

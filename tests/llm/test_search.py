@@ -1,13 +1,16 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
-from fragspark.llm import graph, op6_jaccard_join
+from fragspark.llm import exchange, graph, op6_jaccard_join, op7_lm_scoring
 from fragspark.llm.elias_fano import DECODED, Sequence, Trie, quantise
 from fragspark.llm.op7_lm_scoring import score
 from fragspark.llm.op8_ann import nearest
@@ -277,6 +280,29 @@ def test_lm_trigram_scores(docs, rows, block):
     assert better
 
 
+def test_lm_answers_take_the_memory_of_a_range(monkeypatch):
+    rng = np.random.default_rng(5)
+    common = rng.choice(20_000, (8, 60_000), p=(w := 1.0 / np.arange(1, 20_001)) / w.sum())
+    tables = [pa.table({"block": pa.array([i], pa.int32()), "id": pa.array([10 * i + 1]), "text": [" ".join(map(str, words.tolist()))]}) for i, words in enumerate(common)]
+    counted = pa.concat_tables([op7_lm_scoring._count(1)(t) for t in tables])
+    told = op7_lm_scoring._total(1)(counted)
+    to = lambda i: told.filter(pa.compute.equal(told.column("dst"), i))
+    sent = pa.concat_tables([op7_lm_scoring._pairs(1)(t, to(i)) for i, t in enumerate(tables)])
+
+    def answers() -> tuple[list, int]:
+        tracemalloc.start()
+        out = op7_lm_scoring._answer(sent)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return list(exchange.read(out)), peak
+
+    monkeypatch.setattr(op7_lm_scoring, "LOAD", 1 << 40, raising=False)
+    whole, most = answers()
+    monkeypatch.setattr(op7_lm_scoring, "LOAD", 1 << 16, raising=False)
+    parts, least = answers()
+    assert parts == whole and least < most / 3
+
+
 def test_lm_edges(empty, odd):
     assert score(empty).collect() == []
     out = score(odd).collect()
