@@ -79,6 +79,22 @@ def test_memories_may_be_small():
         assert encoder.encode(buf, s, e, x)[0].tolist() == expected
 
 
+@pytest.mark.parametrize("ending", ["", " \u3000", "\xa0", "\u2028x", " é"])
+def test_new_words_go_through_the_short_call_together(ending):
+    encoder, calls = K.Encoder(PATH), []
+
+    class Library:
+        def __getattr__(self, name):
+            return lambda texts, **options: calls.append((name, len(texts))) or getattr(library, name)(texts, **options)
+
+    library, encoder.library = encoder.library, Library()
+    text = "plain words, é à\u00a0 \u2003 \u3000\u3000x \x85 \x85y\r\n  z<|endoftext|>\u1680\u202f it's 12 ñ\u2009" + ending
+    buf = np.frombuffer(text.encode(), np.uint8)
+    found, sizes = encoder.encode(buf, *(spans := K.pretokens(buf, np.array([0, len(buf)]))))
+    assert found.tolist() == ids([text])[0] and len(sizes) == len(spans[0])
+    assert [name for name, _ in calls] == ["encode_batch_fast"] * 2 and calls[0][1] == 1
+
+
 @pytest.mark.parametrize("length", [1024, 8])
 def test_packing_is_an_exact_round_trip(docs, rows, length):
     pieces = pack(docs, PATH, length).collect()
