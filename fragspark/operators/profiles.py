@@ -1,13 +1,16 @@
 """Per-position profiles: protection scores, cleavage, and their smoothing.
 
 Scores are running sums over events. A fragment changes a score at its ends alone, so it
-emits a few (position, change) rows and a window sums them up along each region:
-work follows fragments plus positions, not their product.
+emits a few (position, change) rows. They are counted once a position of the contig, however many fragments and regions
+meet there, and summed up along tiles of the contig; a region then cuts its pieces out of the tiles.
+So work follows fragments plus positions, not their product, and neither pairs nor positions of regions are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,10 @@ from fragspark.functions import kernels
 from fragspark.operators.fragments import select_fragments
 from fragspark.operators.intervals import interval_join
 
+#: Bases of a contig whose values are one row, and their bits in a position.
+BITS = 12
+TILE = 1 << BITS
+
 
 def positions(regions: DataFrame) -> DataFrame:
     """(idx, contig, pos): every base of every region."""
@@ -36,10 +43,63 @@ def running_sum(regions: DataFrame, events: DataFrame) -> DataFrame:
     return both.withColumn("value", F.sum("change").over(along)).where("base").select("idx", "contig", "pos", "value")
 
 
+def pieces(regions: DataFrame) -> DataFrame:
+    """(idx, contig, tile, at, n, first): the ``n`` bases from ``at`` that a region has of a tile; ``first`` where the region begins there."""
+    tile = F.explode(F.sequence(F.shiftright("start", BITS), F.shiftright(F.col("stop") - 1, BITS)))
+    r = regions.where("stop > start").select("idx", "contig", "start", "stop", tile.alias("tile"))
+    at = F.greatest("start", F.col("tile") * TILE)
+    return r.select("idx", "contig", "tile", at.alias("at"), (F.least("stop", (F.col("tile") + 1) * TILE) - at).cast("int").alias("n"), (at == F.col("start")).alias("first"))
+
+
+def tiles(events: DataFrame, parts: list[str], wanted: DataFrame, values: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """(contig, tile, ...): arrays over the bases of the ``wanted`` tiles, their types in ``schema``.
+
+    ``parts`` are columns of ``events`` (contig, pos) that make up the change at a position together. ``values`` takes the changes summed
+    up along the contig to each base of a tile, and each part at each base.
+    """
+    at = ["contig", "tile"]
+    counts = events.groupBy("contig", "pos").agg(*[F.sum(p).alias(p) for p in parts])
+    # the whole of the parts is needed wherever this is read, so it is made once
+    counts = counts.select("contig", F.shiftright("pos", BITS).alias("tile"), F.col("pos").bitwiseAND(TILE - 1).cast("int").alias("off"), *parts).where("contig is not null and tile is not null")
+    change = reduce(add, [F.col(p) for p in parts])
+    # what is summed up before a tile is a row a tile
+    totals = counts.select(*at, change.alias("change"), F.lit(False).alias("wanted"))
+    totals = totals.unionByName(wanted.where("contig is not null").select(*at, F.lit(0).cast("bigint").alias("change"), F.lit(True).alias("wanted")))
+    totals = totals.groupBy(*at).agg(F.sum("change").alias("change"), F.max("wanted").alias("wanted"))
+    before = F.sum("change").over(Window.partitionBy("contig").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1))
+    carried = totals.withColumn("carried", F.coalesce(before, F.lit(0))).where("wanted").select(*at, "carried")
+
+    def lay(table: pa.Table) -> pa.Table:
+        found = table.filter(table.column("off").is_valid())
+        off, dense = found.column("off").to_numpy(), {}
+        for p in parts:
+            dense[p] = np.zeros(TILE, np.int64)
+            dense[p][off] = found.column(p).to_numpy()
+        out = values(table.column("carried")[0].as_py() + np.cumsum(sum(dense.values())), **dense)
+        return pa.table({c: table.column(c).slice(0, 1) for c in at} | {k: pa.array([v]) for k, v in out.items()})
+
+    return carried.join(counts, at, "left").groupBy(*at).applyInArrow(lay, f"contig string, tile bigint, {schema}")
+
+
 def _events(*pairs: tuple[Column, int | Column]) -> Column:
     return F.explode(F.array(*[F.struct(p.cast("bigint").alias("pos"), (F.lit(c) if isinstance(c, int) else c).cast("bigint").alias("change")) for p, c in pairs]))
 
 
+#: The place of a piece's first base in the arrays of its tile.
+_LOW = "cast((at & (%d)) + 1 as int)" % (TILE - 1)
+
+
+def _cut(parts: DataFrame, tiles: DataFrame, values: Column, none: Column) -> DataFrame:
+    """(idx, contig, at, values): what each of the ``pieces`` takes of its tile's arrays; ``none`` at each base where the tile isn't known."""
+    joined = parts.join(tiles, ["contig", "tile"], "left")
+    return joined.select("idx", "contig", "at", F.coalesce(values, F.array_repeat(none, F.col("n"))).alias("values"))
+
+
+def spread(signal: DataFrame) -> DataFrame:
+    """(idx, contig, pos, value): a row for each of ``values`` of (idx, contig, at, values), from the position ``at`` on."""
+    return signal.select("idx", "contig", "at", F.posexplode("values").alias("i", "value")).select("idx", "contig", (F.col("at") + F.col("i")).alias("pos"), "value")
+
+
 def wps(
     frags: DataFrame, regions: DataFrame, window_size: int = 120, min_length: int = 120, max_length: int = 180, quality_threshold: int = 30
 ) -> DataFrame:
@@ -73,15 +133,29 @@ def wps(
 
 
 def cleavage_profile(frags: DataFrame, regions: DataFrame, min_length: int | None = None, max_length: int | None = None, quality_threshold: int = 30) -> DataFrame:
-    """(contig, pos, proportion, idx): ends at each base (starts of forward, stops of reverse fragments) per hundred fragments over it; 0 without any."""
-    f = select_fragments(frags, quality_threshold=quality_threshold, min_length=min_length, max_length=max_length).select("contig", "start", "stop", "is_forward")
-    joined = interval_join(f, regions.select("contig", "start", "stop", "idx"), "any").withColumn("idx", F.col("r_idx"))
-    events = joined.select("idx", _events((F.col("start"), 1), (F.col("stop"), -1)).alias("e")).select("idx", "e.pos", "e.change")
-    depth = running_sum(regions, events)
-    ends = joined.select("idx", F.when(F.col("is_forward"), F.col("start")).otherwise(F.col("stop")).alias("pos")).groupBy("idx", "pos").agg(F.count(F.lit(1)).alias("ends"))
-    out = depth.join(ends, ["idx", "pos"], "left")
-    share = F.when(F.col("value") > 0, F.coalesce("ends", F.lit(0)) * 100.0 / F.col("value")).otherwise(F.lit(0.0))
-    return out.select("contig", "pos", share.alias("proportion"), "idx")
+    """(contig, pos, proportion, idx): ends at each base (starts of forward, stops of reverse fragments) per hundred fragments over it; 0 without any.
+
+    A fragment that stops where the region starts isn't in the region, so its end doesn't count there. One that stops before it starts is none.
+    """
+    f = select_fragments(frags, quality_threshold=quality_threshold, min_length=min_length, max_length=max_length).where("stop >= start")
+    forward, holds = F.coalesce("is_forward", F.lit(False)), F.col("stop") > F.col("start")
+    start, stop = F.col("start"), F.col("stop")
+    # a region's first base knows no fragment that ends or is empty there: ``first`` counts the other ends, ``later`` those, and ``rest`` makes up the change
+    rows = F.explode(F.array(
+        F.struct(start.alias("pos"), (forward & holds).cast("bigint").alias("first"), (forward & ~holds).cast("bigint").alias("later"), (~forward).cast("bigint").alias("rest")),
+        F.struct(stop.alias("pos"), F.lit(0).cast("bigint").alias("first"), (~forward).cast("bigint").alias("later"), F.when(forward, -1).otherwise(-2).cast("bigint").alias("rest")),
+    ))
+    events = f.select("contig", rows.alias("e")).select("contig", "e.pos", "e.first", "e.later", "e.rest")
+    parts = pieces(regions)
+
+    def shares(depth: np.ndarray, first: np.ndarray, later: np.ndarray, rest: np.ndarray) -> dict[str, np.ndarray]:
+        over = np.maximum(depth, 1)
+        return {"share": np.where(depth > 0, (first + later) * 100.0 / over, 0.0), "edge": np.where(depth > 0, first * 100.0 / over, 0.0)}
+
+    found = tiles(events, ["first", "later", "rest"], parts, shares, "share array<double>, edge array<double>")
+    low = F.expr(_LOW)
+    share = F.when(F.col("first"), F.concat(F.slice("edge", low, 1), F.slice("share", low + 1, F.col("n") - 1))).otherwise(F.slice("share", low, F.col("n")))
+    return spread(_cut(parts, found, share, F.lit(0.0))).select("contig", "pos", F.col("value").alias("proportion"), "idx")
 
 
 def running_mean_adjusted(signal: DataFrame, width: int) -> DataFrame:
