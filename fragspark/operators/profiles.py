@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fragspark.errors import InvalidInputError
 from fragspark.functions import kernels
+from fragspark.functions.sequence import midpoint
 from fragspark.operators.fragments import select_fragments
 from fragspark.operators.intervals import interval_join
 
@@ -100,14 +101,42 @@ def spread(signal: DataFrame) -> DataFrame:
     return signal.select("idx", "contig", "at", F.posexplode("values").alias("i", "value")).select("idx", "contig", (F.col("at") + F.col("i")).alias("pos"), "value")
 
 
+def wps_pieces(
+    frags: DataFrame, regions: DataFrame, window_size: int = 120, min_length: int = 120, max_length: int = 180, quality_threshold: int = 30
+) -> DataFrame | None:
+    """(idx, contig, at, values): the scores of ``wps``, tile by tile; None if they are no matter of the position alone.
+
+    They are where no fragment that changes the score of a base can have its midpoint further than ``max_length`` from it.
+    """
+    h, odd = window_size // 2, window_size % 2
+    if odd or min_length < 0 or h + odd > max_length // 2:
+        return None
+    f = select_fragments(frags, quality_threshold=quality_threshold, min_length=min_length, max_length=max_length).where(midpoint(F.col("start"), F.col("stop")) >= 0)
+    a, b = F.col("start"), F.col("stop")
+    spans = b - a > window_size if odd else b - a >= window_size
+    low, high = (-h if odd else 1 - h), h + 1
+    change = _events((a + low, -1), (F.when(spans, a + high).otherwise(b + high), F.when(spans, 2).otherwise(1)), (b + low, F.when(spans, -2).otherwise(0)), (b + high, F.when(spans, 1).otherwise(0)))
+    events = f.select("contig", change.alias("e")).select("contig", "e.pos", "e.change").where("change <> 0")
+    if odd:
+        # the halves of an odd window round to even: the base c sees [c - h, c + h] if c - h is even, and what c - 1 sees otherwise, so
+        # a change comes into force at the next base of the first kind
+        events = events.withColumn("pos", F.col("pos") + F.pmod(F.col("pos") - h, F.lit(2)))
+    parts = pieces(regions)
+    scores = tiles(events, ["change"], parts, lambda value, change: {"value": value}, "value array<bigint>")
+    return _cut(parts, scores, F.slice("value", F.expr(_LOW), F.col("n")), F.lit(0).cast("bigint"))
+
+
 def wps(
     frags: DataFrame, regions: DataFrame, window_size: int = 120, min_length: int = 120, max_length: int = 180, quality_threshold: int = 30
 ) -> DataFrame:
     """(contig, start, wps, idx): at each base, fragments that span its window less those that end inside it.
 
     The window of base c holds rint(c - w/2) .. rint(c + w/2 - 1). Fragments count by their midpoint within ``max_length``
-    of the region.
+    of the region; only where the window is wider than that leaves room for are they joined to each region.
     """
+    scores = wps_pieces(frags, regions, window_size, min_length, max_length, quality_threshold)
+    if scores is not None:
+        return spread(scores).select("contig", F.col("pos").alias("start"), F.col("value").alias("wps"), "idx")
     f = select_fragments(frags, quality_threshold=quality_threshold, min_length=min_length, max_length=max_length).select("contig", "start", "stop")
     near = regions.select("contig", F.greatest(F.col("start") - max_length, F.lit(0)).alias("start"), (F.col("stop") + max_length).alias("stop"), "idx")
     joined = interval_join(f, near)

@@ -38,6 +38,10 @@ def test_cleavage_does_not_shuffle_pairs(spark, deep):
     assert shuffled(spark, profiles.cleavage_profile(*deep)) < 10_000
 
 
+def test_scores_do_not_shuffle_pairs(spark, deep):
+    assert shuffled(spark, profiles.wps(*deep)) < 10_000
+
+
 @pytest.fixture(scope="module")
 def seams(spark):
     """Fragments around the ends of tiles, short, long and empty, and regions that begin, end and lie there; one where nothing is known."""
@@ -48,6 +52,20 @@ def seams(spark):
     return rows, regions, spark.createDataFrame(rows, FRAGMENT), spark.createDataFrame(regions, REGION)
 
 
+@pytest.mark.parametrize("window", [40, 41, 150, 151, 400])  # the last is too wide for fragments of 300 bases, which are joined to each region
+def test_scores_at_seams(seams, window):
+    rows, regions, f, r = seams
+    got = {(x["idx"], x["start"]): x["wps"] for x in profiles.wps(f, r, window, 0, 300).collect()}
+    assert len(got) == sum(b - a for _, a, b, _, _ in regions)
+    for contig, start, stop, _, idx in regions:
+        near = [x for x in rows if x[0] == contig and x[2] - x[1] <= 300 and max(start - 300, 0) <= (x[1] + x[2]) // 2 < stop + 300]
+        a, b = np.array([x[1] for x in near]), np.array([x[2] for x in near])
+        for c in range(start, stop):
+            low, high = np.rint(c - window / 2), np.rint(c + window / 2 - 1)
+            ends = ((low <= a) & (a <= high)) | ((low <= b) & (b <= high))
+            assert got[idx, c] == ((a < low) & (b > high)).sum() - ends.sum(), (idx, c)
+
+
 def test_cleavage_at_seams(seams):
     rows, regions, f, r = seams
     got = {(x["idx"], x["pos"]): x["proportion"] for x in profiles.cleavage_profile(f, r).collect()}
