@@ -109,7 +109,7 @@ def wps_pieces(
     They are where no fragment that changes the score of a base can have its midpoint further than ``max_length`` from it.
     """
     h, odd = window_size // 2, window_size % 2
-    if odd or min_length < 0 or h + odd > max_length // 2:
+    if min_length < 0 or h + odd > max_length // 2:
         return None
     f = select_fragments(frags, quality_threshold=quality_threshold, min_length=min_length, max_length=max_length).where(midpoint(F.col("start"), F.col("stop")) >= 0)
     a, b = F.col("start"), F.col("stop")

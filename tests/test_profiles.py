@@ -42,6 +42,10 @@ def test_scores_do_not_shuffle_pairs(spark, deep):
     assert shuffled(spark, profiles.wps(*deep)) < 10_000
 
 
+def test_scores_of_odd_windows_do_not_shuffle_pairs(spark, deep):
+    assert shuffled(spark, profiles.wps(*deep, window_size=121)) < 10_000
+
+
 @pytest.fixture(scope="module")
 def seams(spark):
     """Fragments around the ends of tiles, short, long and empty, and regions that begin, end and lie there; one where nothing is known."""
