@@ -8,7 +8,7 @@ So work follows fragments plus positions, not their product, and neither pairs n
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -211,24 +211,66 @@ def edges_subtracted(signal: DataFrame, edge: int) -> DataFrame:
 ADJUSTED = "idx bigint, contig string, pos bigint, value double, status string"
 
 
-def adjust(signal: DataFrame, width: int = 1000, mean: bool = False, edge: int | None = None, smooth: tuple[int, int] | None = (21, 2)) -> DataFrame:
+def _adjusted(regions: list[tuple[int | None, str | None, np.ndarray, np.ndarray]], args: tuple) -> pa.RecordBatch:
+    """The rows of ``adjust`` for some regions' (idx, contig, positions, values)."""
+    parts, n = [], []
+    for _, _, pos, value in regions:
+        try:
+            pos, value = kernels.adjust(pos, value.astype(np.float64), *args)
+            parts.append((pa.array(pos, pa.int64()), pa.array(value, pa.float64()), "ok"))
+        except InvalidInputError as e:
+            parts.append((pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), str(e)))
+        n.append(len(parts[-1][0]))
+    row = pa.array(np.repeat(np.arange(len(n)), n))
+    idx, contig, status = pa.array([r[0] for r in regions], pa.int64()), pa.array([r[1] for r in regions], pa.string()), pa.array([p[2] for p in parts], pa.string())
+    pos, value = pa.concat_arrays([p[0] for p in parts]), pa.concat_arrays([p[1] for p in parts])
+    return pa.record_batch([idx.take(row), contig.take(row), pos, value, status.take(row)], names=["idx", "contig", "pos", "value", "status"])
+
+
+#: Bases that go back from Python at once, and the regions they belong to are adjusted together.
+BASES = 1 << 16
+
+
+def adjust(signal: DataFrame, width: int = 1000, mean: bool = False, edge: int | None = None, smooth: tuple[int, int] | None = (21, 2), whole: bool = False) -> DataFrame:
     """(idx, contig, pos, value, status): running median (or mean) taken out and the rest smoothed, region by region.
 
-    A region that can't be adjusted (gaps, too short) gives one row without a position, and why in ``status``.
+    The signal has a row a base, (idx, contig, pos, value), or rows of several, (idx, contig, at, values); where each region is ``whole`` in
+    one of these, nothing is shuffled. A region that can't be adjusted (gaps, too short) gives one row without a position, and why in ``status``.
     """
+    args = (width, mean, edge, smooth)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        idx, contig = table.column("idx")[0].as_py(), table.column("contig")[0].as_py()
-        try:
-            pos, value = kernels.adjust(table.column("pos").to_numpy(), table.column("value").to_numpy().astype(np.float64), width, mean, edge, smooth)
-            status = ["ok"] * len(pos)
-        except InvalidInputError as e:
-            pos, value, status = [None], [None], [str(e)]
-        n = len(pos)
-        return pa.table([pa.array([idx] * n, pa.int64()), pa.array([contig] * n), pa.array(pos, pa.int64()), pa.array(value, pa.float64()), pa.array(status, pa.string())], names=["idx", "contig", "pos", "value", "status"])
+    def numbers(column: pa.Array) -> np.ndarray:
+        return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
-    return signal.select("idx", "contig", "pos", "value").groupBy("idx").applyInArrow(run, ADJUSTED)
+    def of_bases(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        values = numbers(table.column("value").combine_chunks())
+        return pa.Table.from_batches([_adjusted([(table.column("idx")[0].as_py(), table.column("contig")[0].as_py(), table.column("pos").to_numpy(), values)], args)])
+
+    def of_pieces(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("at").to_pylist(), (numbers(x.values) for x in table.column("values")), strict=True), key=lambda x: x[0])
+        pos, values = np.concatenate([np.arange(at, at + len(v)) for at, v in rows]), np.concatenate([v for _, v in rows])
+        return pa.Table.from_batches([_adjusted([(table.column("idx")[0].as_py(), table.column("contig")[0].as_py(), pos, values)], args)])
+
+    def of_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, n = [], 0
+            for idx, contig, at, values in zip(*(batch.column(c) for c in ("idx", "contig", "at", "values")), strict=True):
+                values = numbers(values.values) if values.is_valid else []
+                if not len(values):
+                    continue
+                some.append((idx.as_py(), contig.as_py(), np.arange(at.as_py(), at.as_py() + len(values)), values))
+                n += len(values)
+                if n >= BASES:
+                    yield _adjusted(some, args)
+                    some, n = [], 0
+            if some:
+                yield _adjusted(some, args)
+
+    if "values" not in signal.columns:
+        return signal.select("idx", "contig", "pos", "value").groupBy("idx").applyInArrow(of_bases, ADJUSTED)
+    signal = signal.select("idx", "contig", "at", "values")
+    return signal.mapInArrow(of_regions, ADJUSTED) if whole else signal.where(F.size("values") > 0).groupBy("idx").applyInArrow(of_pieces, ADJUSTED)
 
 
 def aggregate_signal(signal: DataFrame, regions: DataFrame, size: int, median_window_size: int = 1, mean: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from fragspark.operators import profiles
+from fragspark.plans import catalog
 
 FRAGMENT = "contig string, start bigint, stop bigint, mapq int, is_forward boolean"
 REGION = "contig string, start bigint, stop bigint, name string, idx bigint"
@@ -80,3 +81,39 @@ def test_cleavage_at_seams(seams):
         for p in range(start, stop):
             depth = ((a <= p) & (b > p)).sum()
             assert got[idx, p] == (100.0 * (end == p).sum() / depth if depth else 0), (idx, p)
+
+
+@pytest.fixture
+def on_deep(spark, deep, monkeypatch):
+    """Rows that a query of the catalog writes to shuffles, on the deep tables."""
+    monkeypatch.setattr(catalog, "view", lambda spark, d, name: dict(zip(("fragments", "regions"), deep, strict=True))[name])
+    return lambda name: shuffled(spark, catalog.QUERIES[name](spark, ""))
+
+
+def test_adjusted_scores_do_not_shuffle_bases(on_deep):
+    assert on_deep("adjust_wps") < 10_000
+
+
+@pytest.fixture(scope="module")
+def signals(spark):
+    """The same signal with a row a base, a row a region, and rows of a few bases; regions of 0 to 150 bases."""
+    rng = random.Random(5)
+    regions = [(i, f"c{i % 2}", rng.randint(0, 500), [float(rng.randint(0, 9)) for _ in range(n)]) for i, n in enumerate([0, 1, 3, 7, 8, 9, 40, 150])]
+    bases = [(i, c, at + k, v) for i, c, at, values in regions for k, v in enumerate(values)]
+    cut = [(i, c, at + k, values[k : k + 6]) for i, c, at, values in regions for k in range(0, len(values), 6)]
+    rows = "idx bigint, contig string, at bigint, values array<double>"
+    return spark.createDataFrame(bases, "idx bigint, contig string, pos bigint, value double"), spark.createDataFrame(regions, rows), spark.createDataFrame(rng.sample(cut, len(cut)), rows)
+
+
+def rows_of(frame):
+    return sorted(map(tuple, frame.select(sorted(frame.columns)).collect()), key=str)
+
+
+@pytest.mark.parametrize("smooth", [None, (5, 2)])
+@pytest.mark.parametrize("mean", [True, False])
+def test_adjusting_is_the_same_by_bases_regions_and_pieces(signals, mean, smooth):
+    bases, regions, cut = signals
+    expected = rows_of(profiles.adjust(bases, 8, mean, 3, smooth))
+    assert {r[3] for r in expected} > {"ok"}
+    assert rows_of(profiles.adjust(regions, 8, mean, 3, smooth, whole=True)) == expected
+    assert rows_of(profiles.adjust(cut, 8, mean, 3, smooth)) == expected
