@@ -199,8 +199,24 @@ def running_mean_adjusted(signal: DataFrame, width: int) -> DataFrame:
     return marked.where((F.col("rank") > half) & (F.col("rank") <= F.col("size") - half)).drop("rank", "size")
 
 
+def _mean(values: Column) -> Column:
+    """The mean of an array's values, nulls left out."""
+    known = F.filter(values, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+
+
 def edges_subtracted(signal: DataFrame, edge: int) -> DataFrame:
-    """The signal less the mean of the means of its first and last ``edge`` bases, by region."""
+    """The signal less the mean of the means of its first and last ``edge`` bases, by region.
+
+    The signal has a row a base, (idx, contig, pos, value), or a row a region, (idx, contig, at, values), which needs neither shuffle nor sort.
+    """
+    if "values" in signal.columns:
+        size = F.size("values")
+        ends = F.slice("values", F.lit(1), F.lit(edge)), F.slice("values", F.greatest(size - edge, F.lit(0)) + 1, F.lit(edge))
+        mean = reduce(add, [_mean(x) for x in ends]) / 2
+        # a mean is worked out before its region is laid out; "outer" makes no filter that works the array out again
+        each = signal.select("idx", "contig", "at", "values", mean.alias("mean")).select("idx", "contig", "at", "mean", F.posexplode_outer("values").alias("i", "value"))
+        return each.where("i is not null").select("idx", "contig", (F.col("at") + F.col("i")).alias("pos"), (F.col("value") - F.col("mean")).alias("value"))
     region = Window.partitionBy("idx")
     first, last = F.row_number().over(region.orderBy("pos")), F.row_number().over(region.orderBy(F.col("pos").desc()))
     marked = signal.withColumn("first", first).withColumn("last", last)

@@ -94,6 +94,10 @@ def test_adjusted_scores_do_not_shuffle_bases(on_deep):
     assert on_deep("adjust_wps") < 10_000
 
 
+def test_edges_do_not_shuffle_bases(on_deep):
+    assert on_deep("edge_subtract") <= 300
+
+
 @pytest.fixture(scope="module")
 def signals(spark):
     """The same signal with a row a base, a row a region, and rows of a few bases; regions of 0 to 150 bases."""
@@ -117,3 +121,15 @@ def test_adjusting_is_the_same_by_bases_regions_and_pieces(signals, mean, smooth
     assert {r[3] for r in expected} > {"ok"}
     assert rows_of(profiles.adjust(regions, 8, mean, 3, smooth, whole=True)) == expected
     assert rows_of(profiles.adjust(cut, 8, mean, 3, smooth)) == expected
+
+
+@pytest.mark.parametrize("edge", [1, 5, 200])
+def test_edges_are_the_same_by_bases_and_regions(signals, edge):
+    bases, regions, _ = signals
+    assert rows_of(profiles.edges_subtracted(regions, edge)) == rows_of(profiles.edges_subtracted(bases, edge))
+
+
+def test_edges_pass_over_nulls(spark):
+    regions = spark.createDataFrame([(1, "c", 5, [None, 4.0, 1.0, 2.0]), (2, "c", 5, [None, None, 1.0, None]), (3, "c", 5, None)], "idx bigint, contig string, at bigint, values array<double>")
+    bases = profiles.spread(regions)
+    assert rows_of(profiles.edges_subtracted(regions, 2)) == rows_of(profiles.edges_subtracted(bases, 2))
