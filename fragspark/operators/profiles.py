@@ -188,9 +188,14 @@ def cleavage_profile(frags: DataFrame, regions: DataFrame, min_length: int | Non
 
 
 def running_mean_adjusted(signal: DataFrame, width: int) -> DataFrame:
-    """(idx, contig, pos, value): the signal less its running mean, natively; the outer halves of the window go."""
+    """(idx, contig, pos, value): the signal less its running mean; the outer halves of the window go.
+
+    A signal with a row a base, (idx, contig, pos, value), is taken natively; one with a row a region, (idx, contig, at, values), by ``adjust``, without a shuffle.
+    """
     if width % 2:
         raise InvalidInputError("the running window must be even")
+    if "values" in signal.columns:
+        return adjust(signal, width, mean=True, smooth=None, whole=True).where("status = 'ok'").drop("status")
     half = width // 2
     along = Window.partitionBy("idx").orderBy("pos")
     mean = F.avg("value").over(along.rowsBetween(-half, half - 1))

@@ -98,6 +98,11 @@ def test_edges_do_not_shuffle_bases(on_deep):
     assert on_deep("edge_subtract") <= 300
 
 
+@pytest.mark.parametrize("query", ["running_median_adjust", "running_mean_adjust"])
+def test_running_windows_do_not_shuffle_bases(on_deep, query):
+    assert on_deep(query) <= 300
+
+
 @pytest.fixture(scope="module")
 def signals(spark):
     """The same signal with a row a base, a row a region, and rows of a few bases; regions of 0 to 150 bases."""
@@ -124,9 +129,10 @@ def test_adjusting_is_the_same_by_bases_regions_and_pieces(signals, mean, smooth
 
 
 @pytest.mark.parametrize("edge", [1, 5, 200])
-def test_edges_are_the_same_by_bases_and_regions(signals, edge):
+def test_edges_and_means_are_the_same_by_bases_and_regions(signals, edge):
     bases, regions, _ = signals
     assert rows_of(profiles.edges_subtracted(regions, edge)) == rows_of(profiles.edges_subtracted(bases, edge))
+    assert rows_of(profiles.running_mean_adjusted(regions, 8)) == rows_of(profiles.running_mean_adjusted(bases, 8))
 
 
 def test_edges_pass_over_nulls(spark):
